@@ -122,3 +122,37 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if not new.where("component <> was").limit(1).count():
             return labels
     raise RuntimeError("components did not settle")
+
+
+def per_text(df: DataFrame, fn, ddl: str, text: str = "text") -> DataFrame:
+    """df with further columns (ddl, names that begin with _dp_) that fn makes: a list of texts -> a list of Arrow arrays.
+
+    Rows and other columns pass through as they are, with no shuffle.
+    """
+    from pyspark.sql.types import StructType
+
+    prepare(df.sparkSession)
+    new = StructType.fromDDL(ddl)
+    at = df.columns.index(text)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            cols = fn(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *new.names])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *new.fields]))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
+    """text, label (int), fold: a repeatable sample of about `bound` labelled rows outside the held-out fold.
+
+    The sampled labels are broadcast: their number is the stated bound, whatever the size of the tables.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("_dp_y")).where(
+        F.col("doc_id").isNotNull() & F.col("_dp_y").isin(0, 1) & ~held_out("doc_id")
+    )
+    some = thinned(known, {None: known.count()}, None, bound)
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)).cast("int").alias("_dp_part")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("text", "_dp_y", part)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, prepare, staged
+from .common import components, per_text, prepare, staged
 
 BITS = 64
 
@@ -50,18 +50,17 @@ def fingerprint_of(text: str | None, size: int, seed: int = 42) -> int:
     return int(((ones * 2 > n).astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum())
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, extra: list[str] = ()) -> DataFrame:
     """doc_id and fp (long: the fingerprint's 64 bits). A null text counts as empty; no words give 0."""
-    prepare(docs.sparkSession)
 
-    def run(batches: Iterator) -> Iterator:
+    def run(texts: list) -> list:
         import pyarrow as pa
 
-        for b in batches:
-            fp = np.fromiter((fingerprint_of(x, shingle, seed) for x in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        return [pa.array(np.fromiter((fingerprint_of(x, shingle, seed) for x in texts), np.uint64, len(texts)).view(np.int64))]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(*(extra or (F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))))
+    out = per_text(rows, run, "_dp_fp long")
+    return out.select(*(extra or ["doc_id"]), F.col("_dp_fp").alias("fp"))
 
 
 def _masks(blocks: int) -> list[int]:
@@ -180,17 +179,37 @@ def links(prints: DataFrame, distance: int = 4, blocks: int | None = None, depth
     return tasks.groupBy("shard", "i", "j").applyInPandas(compare, "src long, dst long")
 
 
+def grouped(prints: DataFrame, distance: int = 4, **kw) -> DataFrame:
+    """fp and component_id, the least doc_id that links lead to, for the distinct fingerprints of prints (doc_id, fp)."""
+    classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    joined = components(links(classes.select("fp"), distance, **kw))
+    group = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = group.groupBy("component").agg(F.min("least").alias("component_id"))
+    return group.join(least, "component").select("fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, **kw) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id that links lead to.
 
     Rows of equal fingerprint are one class; empty texts have fingerprint zero and link like others. A null doc_id
-    takes part and names no component; a repeated row has the component of its class; an empty table gives no rows.
+    takes part and names no component (a group of such alone has none); a repeated row has the component of its class;
+    an empty table gives no rows.
     """
     prints = staged(fingerprints(docs, shingle))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    classes = staged(classes)
-    joined = components(links(classes.select("fp"), distance, **kw))
-    group = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = group.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = group.join(least, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(grouped(prints, distance, **kw), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, **kw) -> DataFrame:
+    """One row of docs for each group: that of least doc_id (of repeated rows any; of groups without ids one a print)."""
+    prints = staged(fingerprints(docs, shingle))
+    named = grouped(prints, distance, **kw)
+    stay = named.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
+    out = docs.join(stay, "doc_id", "left_semi")
+    counts = prints.agg(F.count("doc_id"), F.count(F.lit(1)), F.countDistinct("doc_id")).first()
+    if counts[0] != counts[2]:
+        out = out.dropDuplicates(["doc_id"])
+    if counts[0] != counts[1]:
+        # Rows without an id, of groups in which none has one.
+        bare = fingerprints(docs.where("doc_id is null"), shingle, extra=docs.columns).join(named.where("component_id is null"), "fp", "left_semi")
+        out = out.unionByName(bare.dropDuplicates(["fp"]).select(*docs.columns))
+    return out
