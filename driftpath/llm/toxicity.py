@@ -132,7 +132,7 @@ class Automaton:
             if found:
                 self.cost[i], self.best[i] = min(found)
         self.star = np.array([t[-1] == "*" for t in self.terms] + [False])
-        self.shortest = min((len(t) - edits_of(t) for t in self.terms), default=1)
+        self.shortest = min((len(t.rstrip("*")) - edits_of(t) for t in self.terms), default=1)
         self.longest = max((len(t) + edits_of(t) for t in self.terms), default=1)
         self.codes = np.zeros(0x250, np.int32)
         for c, s in self.symbol.items():
