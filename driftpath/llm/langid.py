@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import held_out, per_text, prepare, thinned
 
 SIZES = (2, 3, 4)
-HASHES = 3
+#: One odd multiplier for each hash function.
+_SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+HASHES = len(_SPREAD)
 _LETTER: list[np.ndarray] = []
 
 
@@ -72,8 +74,8 @@ class Filters:
 
     def places(self, h: np.ndarray) -> list[np.ndarray]:
         with np.errstate(over="ignore"):
-            step = (h >> np.uint64(17)) | np.uint64(1)
-            return [((h + np.uint64(i) * step) >> np.uint64(64 - self.bits)).astype(np.int64) for i in range(HASHES)]
+            h = h ^ (h >> np.uint64(32))
+            return [((h * np.uint64(c)) >> np.uint64(64 - self.bits)).astype(np.int64) for c in _SPREAD]
 
     def masks(self, h: np.ndarray) -> np.ndarray:
         a, *rest = self.places(h)
