@@ -50,17 +50,19 @@ def fingerprint_of(text: str | None, size: int, seed: int = 42) -> int:
     return int(((ones * 2 > n).astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum())
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, extra: list[str] = ()) -> DataFrame:
-    """doc_id and fp (long: the fingerprint's 64 bits). A null text counts as empty; no words give 0."""
-
+def _printer(shingle: int, seed: int = 42):
     def run(texts: list) -> list:
         import pyarrow as pa
 
         return [pa.array(np.fromiter((fingerprint_of(x, shingle, seed) for x in texts), np.uint64, len(texts)).view(np.int64))]
 
-    rows = docs.select(*(extra or (F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))))
-    out = per_text(rows, run, "_dp_fp long")
-    return out.select(*(extra or ["doc_id"]), F.col("_dp_fp").alias("fp"))
+    return run
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """doc_id and fp (long: the fingerprint's 64 bits). A null text counts as empty; no words give 0."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return per_text(rows, _printer(shingle, seed), "_dp_fp long").select("doc_id", F.col("_dp_fp").alias("fp"))
 
 
 def _masks(blocks: int) -> list[int]:
@@ -210,6 +212,7 @@ def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, **kw) -> D
         out = out.dropDuplicates(["doc_id"])
     if counts[0] != counts[1]:
         # Rows without an id, of groups in which none has one.
-        bare = fingerprints(docs.where("doc_id is null"), shingle, extra=docs.columns).join(named.where("component_id is null"), "fp", "left_semi")
-        out = out.unionByName(bare.dropDuplicates(["fp"]).select(*docs.columns))
+        alone = named.where("component_id is null").select(F.col("fp").alias("_dp_fp"))
+        bare = per_text(docs.where("doc_id is null"), _printer(shingle), "_dp_fp long").join(alone, "_dp_fp", "left_semi")
+        out = out.unionByName(bare.dropDuplicates(["_dp_fp"]).select(*docs.columns))
     return out
