@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import release, shared_dir, staged, staged_path
+
+__all__ = ["components", "fold", "held_out", "labelled", "per_text", "prepare", "release", "shared_dir", "staged", "staged_path", "table", "thinned"]
+
 _ROOT = str(Path(__file__).resolve().parents[2])
-_STAGED: list[tuple[SparkSession, str]] = []
 
 
 def prepare(spark: SparkSession) -> None:
@@ -27,51 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a temporary one where unset."""
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    path = path or tempfile.mkdtemp(prefix="driftpath-")
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def staged_path(spark: SparkSession) -> str:
-    path = f"{shared_dir(spark)}/driftpath-{uuid.uuid4().hex}"
-    _STAGED.append((spark, path))
-    return path
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
-    path = staged_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the tables that operators of this session have staged. Call it once their results are consumed."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for own, path in list(_STAGED):
-        if own is spark:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-            _STAGED.remove((own, path))
-
-
-@atexit.register
-def _at_exit() -> None:
-    for spark in {id(s): s for s, _ in _STAGED}.values():
-        try:
-            if spark.sparkContext._jsc is not None:
-                release(spark)
-        except Exception:  # noqa: BLE001  the JVM may have gone first
-            return
-
-
 def fold(doc_id: Column | str) -> Column:
     """crc32 of the id's decimal text, modulo 4; null ids fall in fold 0."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
