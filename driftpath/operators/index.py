@@ -6,7 +6,7 @@ are at or before ts (forward: the next walk's first valid group) or before ts (b
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +22,16 @@ class WalkIndex:
     stats: DataFrame  # node, n_groups, sizes array<long>, stamps array<long>, cum array<double>
     forward: bool
     directed: bool
+    n_ends: int = 1 << 62
+    _held: dict = field(default_factory=dict, compare=False)
+
+    def shared(self):
+        """The index as broadcast arrays; only asked for where n_ends has been checked."""
+        if "arrays" not in self._held:
+            from .vector_walks import arrays
+
+            self._held["arrays"] = self.ends.sparkSession.sparkContext.broadcast(arrays(self))
+        return self._held["arrays"]
 
 
 def side_of(directed: bool, forward: bool) -> str:
@@ -51,6 +61,7 @@ def build(graph: TemporalGraph, forward: bool, bound: float = -1) -> WalkIndex:
             "node", F.size("x").alias("n_groups"), F.transform("x", lambda y: y.n_edges).alias("sizes"),
             F.transform("x", lambda y: y.ts).alias("stamps"), F.transform("x", lambda y: y.c).alias("cum"),
         )
-        return WalkIndex(staged(out), staged(stats), forward, graph.directed)
+        ends_table = staged(out)
+        return WalkIndex(ends_table, staged(stats), forward, graph.directed, ends_table.count())
 
     return graph._kept(("index", forward, bound), make)

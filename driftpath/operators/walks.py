@@ -12,6 +12,7 @@ from ..functions.rng import EDGE, ENDPOINT, GROUP, MODES
 from ..functions.scalars import beta, bounded, either
 from ..storage import staged
 from . import index as ix
+from . import vector_walks as vw
 from .graph import TemporalGraph
 from .weights import global_weights
 
@@ -20,7 +21,11 @@ FIRST_TS, LAST_TS = -(1 << 63), (1 << 63) - 1
 
 @dataclass(frozen=True)
 class WalkOptions:
-    """beta_from: the hop (1 is the start edge) from which node2vec's beta holds. cut_every: hops between staged tables."""
+    """beta_from: the hop (1 is the start edge) from which node2vec's beta holds. cut_every: hops between staged tables.
+
+    broadcast_ends: an index of at most so many rows goes to all executors as arrays (some 60 bytes a row), and walkers hop
+    there; beyond it, and for node2vec, each hop is joins. Both give the same walks.
+    """
 
     max_len: int
     bias: str
@@ -33,6 +38,7 @@ class WalkOptions:
     q: float = 1.0
     beta_from: int = 2
     cut_every: int = 6
+    broadcast_ends: int = 2_000_000
 
     def __post_init__(self) -> None:
         P.parse_picker(self.bias)
@@ -121,7 +127,10 @@ def _finished(f: DataFrame, forward: bool) -> DataFrame:
 
 def _run(f: DataFrame, index: ix.WalkIndex, o: WalkOptions, done: int, cutoffs: bool, adjacent: DataFrame | None) -> DataFrame:
     """done: hops that f already has."""
-    for step in range(done, o.max_len - 1 if o.max_len > 1 else 1):
+    last = o.max_len - 1 if o.max_len > 1 else 1
+    if P.NODE2VEC not in (o.bias, o.start_bias) and index.n_ends <= o.broadcast_ends:
+        return vw.run(f, index.shared(), o, index.forward, done, last, _STEPS)
+    for step in range(done, last):
         bias = o.bias if step else o.start_bias or o.bias
         f = _hop(f, index, step, bias, o, cutoffs, adjacent if step else None)
         if (step + 1) % o.cut_every == 0 and step + 2 < o.max_len:

@@ -77,6 +77,16 @@ def test_repeatable_and_staged_alike(spark):
     assert a != go(spark, g, wx.node_seeds(g), 5, per=4, seed=10)
 
 
+@pytest.mark.parametrize("rng", ["hashed", "portable"])
+@pytest.mark.parametrize("bias", [P.UNIFORM, P.LINEAR, P.EXPONENTIAL_INDEX, P.EXPONENTIAL_WEIGHT, P.FIRST, P.LAST])
+def test_arrays_and_joins_give_the_same_walks(spark, bias, rng):
+    g = graph(spark, [(k * 7 % 23, k * 11 % 19, k * 5 % 41) for k in range(300)], directed=bias != P.LINEAR)
+    s = seeds(spark, *[(k % 25, None if k % 4 else 20 + k) for k in range(50)], cut=True)
+    for d in (P.FORWARD, P.BACKWARD):
+        got = [go(spark, g, s, 6, bias, d, per=3, seed=5, rng=rng, bound=10, broadcast_ends=n) for n in (0, 1000)]
+        assert got[0] == got[1] and any(w.walk_len > 3 for w in got[0])
+
+
 def test_free_walks(spark):
     for directed in (True, False):
         g = graph(spark, MIXED, directed=directed)
