@@ -107,7 +107,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     ranges = staged(later_copies(docs, min_words)).groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_dp_removed"))
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda _, i: ~F.exists("_dp_removed", lambda x: (x.s <= i) & (i <= x.e)))
-    out = _keyed(docs).join(ranges, list(_KEY), "left").withColumn("text", F.when(F.col("_dp_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    # Merged whatever the size: ranges grow with the documents, so they are never broadcast.
+    out = _keyed(docs).join(ranges.hint("merge"), list(_KEY), "left").withColumn("text", F.when(F.col("_dp_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     return out.select(*docs.columns, F.coalesce("_dp_removed", F.array().cast("array<struct<s:int,e:int>>")).alias("_dp_removed"))
 
 
