@@ -7,8 +7,8 @@ doc_ids array<long>, n_tokens array<long>, offsets array<long> (one more than do
 the k-th document is payload[offsets[k]:offsets[k + 1]]; it holds little-endian unsigned 32-bit ids. first_doc and
 last_doc let a reader skip blocks by Parquet statistics, and the offsets let it decompress one document alone.
 
-The dictionary is trained on a bounded sample: `sample_docs` documents of the least hash of doc_id, of those with at
-most `sample_bytes` of serialized ids. It changes the size of files only, never their meaning.
+The dictionary is trained on a bounded sample: about `sample_docs` documents by hash of doc_id, of those with at most
+`sample_bytes` of serialized ids. It changes the size of files only, never their meaning.
 
 Null and empty texts are documents of the end id alone. A null doc_id comes first; rows of the same doc_id are all
 written, in the order of their texts. An empty table makes no block.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import prepare, staged_path
+from .common import prepare, staged_path, thinned
 
 BLOCKS = "file int, block int, first_doc long, last_doc long, dict_hash string, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary"
 
@@ -44,9 +44,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = 1, sample_do
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(list(_ids(tokenizer, end_id, b.column(0).to_pylist())), pa.binary())], ["raw"])
 
-    h = F.xxhash64("doc_id", F.lit("dictionary"))
-    least = docs.where(F.length("text") <= sample_bytes // 2).select("text", h.alias("h")).orderBy("h").limit(sample_docs).select("text")
-    found = [bytes(r.raw) for r in least.mapInArrow(raw, "raw binary").where(F.length("raw") <= sample_bytes).collect()]
+    short = docs.where(F.length("text") <= sample_bytes // 2)
+    some = thinned(short, {None: short.count()}, None, sample_docs).select("text")
+    found = [bytes(r.raw) for r in some.mapInArrow(raw, "raw binary").where(F.length("raw") <= sample_bytes).collect()]
     try:
         return zstandard.train_dictionary(dict_bytes, found).as_bytes() if len(found) >= 16 else b""
     except zstandard.ZstdError:
