@@ -16,10 +16,11 @@ _L = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _N = "0-9²³¹¼-¾"
 _BYTES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
-_OTHER = re.compile("[^\t-\r -~¡-¬®-įı-ſ]")
-_UNEVEN = re.compile(r"^\s|\s$|\s\s|[\t\r\v\f]")
+_OTHER = re.compile("[^\x00-\x7f¡-¬®-įı-ſ]")
+_CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
+_UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\v", "\f")
 _LONGEST = 200
-_CACHED = 400_000
+_CACHED = 800_000
 _STEP = 1 << 20
 _LOADED: dict[str, _Encoder] = {}
 
@@ -66,11 +67,11 @@ class _Encoder:
 
     def cut(self, text: str) -> list[str] | None:
         """Chunks that split at blanks alone, or None if the library has to split this text."""
-        if self.kind is None or _OTHER.search(text):
+        if self.kind is None or not text.isascii() and _OTHER.search(text) or not text.isprintable() and _CONTROL.search(text):
             return None
         if self.kind == "words":
             return text.lower().split()
-        if _UNEVEN.search(text):
+        if text[0].isspace() or text[-1].isspace() or any(x in text for x in _UNEVEN):
             return None
         out = text.replace("\n", " \n").split(" ")
         out[0] = "\r" + out[0]
@@ -90,7 +91,7 @@ class _Encoder:
                 if len(short) < _CACHED // 2:
                     cache.update(short)
         cuts = [self.cut(x) if x else [] for x in texts]
-        new = set().union(*(c for c in cuts if c)).difference(chunks)
+        new = {k for c in cuts if c for k in c if k not in chunks}
         parts = {k: self.parts(k) for k in new}
         unknown = set().union(*parts.values()).difference(self.pieces)
         if unknown:
