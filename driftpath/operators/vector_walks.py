@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pickers as P
 from ..functions.rng import EDGE, GROUP, portable_value  # noqa: F401  (the portable numbers' definition)
+from ..storage import importable
 
 _M = np.int64(2147483647)
 # The multipliers of the public 64-bit xxHash.
@@ -151,6 +152,7 @@ def arrays(index) -> Arrays:
 
 def run(f: DataFrame, shared, o, forward: bool, done: int, last: int, steps_type: str) -> DataFrame:
     """f: walk_id, key, rank, cutoff, steps -> walk_id, steps with all further hops."""
+    importable(f.sparkSession)
 
     def go(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -3,12 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _STAGED: list[tuple[SparkSession, str]] = []
+_ROOT = str(Path(__file__).resolve().parents[1])
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver was started."""
+    env = spark.sparkContext.environment
+    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH")) if x)
 
 
 def shared_dir(spark: SparkSession) -> str:
