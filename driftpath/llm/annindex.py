@@ -242,6 +242,7 @@ def audit(vectors: DataFrame, result: DataFrame, threshold: float = 0.98, block:
     rows, _ = classes(vectors)
     ok = staged(rows.where("ok").withColumn("unit", F.col("v")))
     spark = vectors.sparkSession
+    prepare(spark)
     asked = ok.where("vec_id % 20 = 0").select("vec_id", "label", "v").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-ok.count() // (20 * block))))))
     asked = staged(asked)
     wanted = got = 0

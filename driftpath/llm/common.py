@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import release, shared_dir, staged, staged_path
+from ..storage import importable, release, shared_dir, staged, staged_path
 
 __all__ = ["components", "fold", "held_out", "labelled", "per_text", "prepare", "release", "shared_dir", "staged", "staged_path", "table", "thinned"]
 
-_ROOT = str(Path(__file__).resolve().parents[2])
-
 
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package and keep their Arrow batches small."""
-    env = spark.sparkContext.environment
-    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH")) if x)
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled, per_text, staged
+from .common import held_out, labelled, per_text, prepare, staged
 
 # Insults, by language; reporting words; second persons.
 LEXICON = (
@@ -224,6 +224,7 @@ def forms(text: str | None) -> set[str]:
 
 def learned(rows: DataFrame, share: float, most_terms: int, least_ratio: float = 27.0) -> list[str]:
     """Words and stems (with a star) that tell toxic documents; rows: text, _dp_y, a sample without exact copies."""
+    prepare(rows.sparkSession)
 
     def count(y: int, among: frozenset | None):
         def run(batches: Iterator) -> Iterator:
