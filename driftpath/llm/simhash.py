@@ -183,8 +183,13 @@ def links(prints: DataFrame, distance: int = 4, blocks: int | None = None, depth
 
 def grouped(prints: DataFrame, distance: int = 4, **kw) -> DataFrame:
     """fp and component_id, the least doc_id that links lead to, for the distinct fingerprints of prints (doc_id, fp)."""
+    return named(prints, links(staged(prints.select("fp").distinct()), distance, **kw))
+
+
+def named(prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """fp and component_id for the distinct fp of prints (doc_id, fp), by edges (src, dst) among them."""
     classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = components(links(classes.select("fp"), distance, **kw))
+    joined = components(edges)
     group = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = group.groupBy("component").agg(F.min("least").alias("component_id"))
     return group.join(least, "component").select("fp", "component_id")
@@ -204,15 +209,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, **kw)
 def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, **kw) -> DataFrame:
     """One row of docs for each group: that of least doc_id (of repeated rows any; of groups without ids one a print)."""
     prints = staged(fingerprints(docs, shingle))
-    named = grouped(prints, distance, **kw)
-    stay = named.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
+    return stay_one(docs, prints, grouped(prints, distance, **kw), _printer(shingle))
+
+
+def stay_one(docs: DataFrame, prints: DataFrame, groups: DataFrame, printer) -> DataFrame:
+    """The rows that stay, by prints (doc_id, fp), groups (fp, component_id), and the printer that makes fp."""
+    stay = groups.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
     out = docs.join(stay, "doc_id", "left_semi")
     counts = prints.agg(F.count("doc_id"), F.count(F.lit(1)), F.countDistinct("doc_id")).first()
     if counts[0] != counts[2]:
         out = out.dropDuplicates(["doc_id"])
     if counts[0] != counts[1]:
         # Rows without an id, of groups in which none has one.
-        alone = named.where("component_id is null").select(F.col("fp").alias("_dp_fp"))
-        bare = per_text(docs.where("doc_id is null"), _printer(shingle), "_dp_fp long").join(alone, "_dp_fp", "left_semi")
+        alone = groups.where("component_id is null").select(F.col("fp").alias("_dp_fp"))
+        bare = per_text(docs.where("doc_id is null"), printer, "_dp_fp long").join(alone, "_dp_fp", "left_semi")
         out = out.unionByName(bare.dropDuplicates(["_dp_fp"]).select(*docs.columns))
     return out
