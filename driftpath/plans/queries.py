@@ -312,6 +312,15 @@ def node_features_dense(s, d):
     return out.select("node", F.round(F.get("features", F.lit(0)).cast("double"), 4).alias("first"), F.size("features").cast("long").alias("dim"))
 
 
+@query("node_features_dense_all", f"""WITH {O.EDGES} SELECT node, round(CAST(coalesce(m.embedding[1], 0) AS DOUBLE), 4) AS first, coalesce(len(m.embedding), 64) AS dim
+FROM generate_series(0, (SELECT max(greatest(u, i)) FROM e)) t(node) LEFT JOIN embeddings m ON m.vec_id = node""")
+def node_features_dense_all(s, d):
+    """All embeddings; node_features_dense and its SQL take a third."""
+    rows = read(s, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("features"))
+    out = fx.dense(chain(s, d), fx.upsert(None, rows))
+    return out.select("node", F.round(F.get("features", F.lit(0)).cast("double"), 4).alias("first"), F.size("features").cast("long").alias("dim"))
+
+
 query("collapsed_directed", f"WITH {O.EDGES} SELECT u, i, max(ts) AS ts FROM e GROUP BY u, i")(lambda s, d: sinks.collapsed(chain(s, d)))
 query("collapsed_undirected", f"WITH {O.EDGES} SELECT least(u, i) AS u, greatest(u, i) AS i, max(ts) AS ts FROM e GROUP BY 1, 2")(lambda s, d: sinks.collapsed(chain(s, d, False)))
 query("walk_lines", f"SELECT string_agg(node, ' ' ORDER BY step) AS value FROM ({O.walks(_ALL, 6, P.FIRST, None, True, True, 2, 11, 50)}) GROUP BY walk_id")(
