@@ -329,3 +329,60 @@ query("walk_lines", f"SELECT string_agg(node, ' ' ORDER BY step) AS value FROM (
 query("group_weight_from_cumulative", f"WITH {O.ends('out')}, {O.weights(50)} SELECT node, ts, round(w_fwd, 6) AS w FROM wts")(
     lambda s, d: node_weights(chain(s, d).groups(OUT), 50).select("node", "ts", F.round(F.col("cum_fwd") - F.coalesce(F.lag("cum_fwd").over(Window.partitionBy("node").orderBy("ts")), F.lit(0.0)), 6).alias("w"))
 )
+
+
+# Whole graphs asked: all nodes, groups and adjacent pairs, and a few that are absent. The queries above ask about fixed ids.
+
+_NODES = "n AS (SELECT u AS node FROM e UNION SELECT i FROM e), q AS (SELECT node FROM n UNION SELECT -k FROM generate_series(1, 3) x(k) UNION SELECT (SELECT max(node) FROM n) + k FROM generate_series(1, 3) x(k))"
+
+
+def all_asked(s: SparkSession, d: str) -> DataFrame:
+    """Each node of the graph and three ids below zero and above the greatest."""
+    own = chain(s, d).nodes().select("node")
+    k = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long")))
+    above = own.agg(F.max("node").alias("m")).select(k.alias("k"), "m").select((F.col("m") + F.col("k")).alias("node"))
+    return own.union(s.range(-3, 0).select(F.col("id").alias("node"))).union(above).distinct()
+
+
+query("active_nodes_all", f"WITH {O.EDGES}, {_NODES} SELECT q.node, n.node IS NOT NULL AS active FROM q LEFT JOIN n ON q.node = n.node")(lambda s, d: chain(s, d).is_active(all_asked(s, d)))
+query("degrees_for_list_all", f"WITH {O.ends('out')}, {_NODES} SELECT q.node AS pos, q.node, count(ends.node) AS degree FROM q LEFT JOIN ends ON q.node = ends.node GROUP BY q.node")(
+    lambda s, d: chain(s, d).degrees_of(all_asked(s, d).select(F.col("node").alias("pos"), "node"))
+)
+query("group_ranges_all", f"""WITH {O.EDGES}, t AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS gg, min(edge_id) AS a, max(edge_id) + 1 AS b FROM e GROUP BY ts)
+SELECT q.gg, coalesce(a, 0) AS start, coalesce(b, 0) AS stop FROM generate_series(-2, (SELECT count(*) FROM t) + 2) q(gg) LEFT JOIN t ON q.gg = t.gg""")(
+    lambda s, d: chain(s, d).group_range(s.range(-2, chain(s, d).ts_groups().count() + 3).select(F.col("id").alias("gg")))
+)
+for _name, _directed, _less in (("node_ts_less", True, True), ("node_ts_greater", True, False), ("node_ts_less_undirected", False, True), ("node_ts_greater_undirected", False, False)):
+    query(f"count_{_name}_all", f"WITH {O.ends('in' if _less else 'out', _directed)}, {_NODES}, a AS ({_ASKED}) SELECT q.node, t, count(DISTINCT ts) AS n FROM q CROSS JOIN a LEFT JOIN ends ON ends.node = q.node AND ts {'<' if _less else '>'} t GROUP BY q.node, t")(
+        lambda s, d, directed=_directed, less=_less: (chain(s, d, directed).count_node_ts_less if less else chain(s, d, directed).count_node_ts_greater)(all_asked(s, d).crossJoin(asked(s, d)))
+    )
+
+
+@query("n2v_beta_all", f"""WITH {O.EDGES}, n AS (SELECT u AS a, i AS b FROM e UNION SELECT i, u FROM e), q AS (SELECT a AS prev, b AS w FROM n UNION SELECT a, a FROM n UNION SELECT a, -1 FROM n)
+SELECT prev, w, CASE WHEN w = prev THEN 0.5 WHEN n.a IS NOT NULL THEN 1.0 ELSE 2.0 END AS beta FROM q LEFT JOIN n ON n.a = prev AND n.b = w""")
+def n2v_beta_all(s, d):
+    own = chain(s, d).neighbours().select(F.col("node").alias("prev"), F.col("nbr").alias("w"))
+    near = own.withColumn("near", F.lit(True))
+    pairs = own.union(own.select("prev", "prev")).union(own.select("prev", F.lit(-1).cast("long"))).distinct()
+    return pairs.join(near, ["prev", "w"], "left").select("prev", "w", scalars.beta(F.col("prev"), F.col("w"), F.coalesce("near", F.lit(False)), 2.0, 0.5).alias("beta"))
+
+
+_CUT_ALL = "SELECT pos, node, CASE WHEN pos % 5 = 0 THEN NULL ELSE (SELECT min(ts) FROM e) + pos * 3 END AS cutoff FROM (SELECT row_number() OVER (ORDER BY node) - 1 AS pos, node FROM (SELECT u AS node FROM e UNION SELECT i FROM e))"
+for _forward in (True, False):
+    query(f"walk_cutoffs_{'fwd' if _forward else 'bwd'}_all", O.walks(_CUT_ALL, 5, P.LINEAR, None, _forward, True, 2, 3, 50))(
+        lambda s, d, forward=_forward: long_rows(wx.walks(
+            chain(s, d), global_rank(chain(s, d).nodes().select("node"), ["node"], "pos").crossJoin(chain(s, d)._edges().agg(F.min("ts").alias("m"))).select(
+                "pos", "node", F.when(F.col("pos") % 5 != 0, F.col("m") + F.col("pos") * 3).alias("cutoff")
+            ), wx.WalkOptions(5, P.LINEAR, None, P.FORWARD if forward else P.BACKWARD, 3, "portable", 50), 2,
+        ))
+    )
+_LAST_ALL = "SELECT row_number() OVER (ORDER BY node) - 1 AS pos, node, CAST(NULL AS BIGINT) AS cutoff FROM (SELECT DISTINCT u AS node FROM e WHERE ts >= (SELECT min(ts) + (max(ts) - min(ts)) * 2 // 3 FROM e))"
+
+
+@query("walk_last_batch_all", O.walks(_LAST_ALL, 5, P.UNIFORM, None, False, True, 3, 5, 50))
+def walk_last_batch_all(s, d):
+    """Two batches by time; walks from the sources of the second, the last third of the span."""
+    e = chain(s, d)._edges().select("u", "i", "ts", "idx")
+    cut = e.agg(F.expr("min(ts) + (max(ts) - min(ts)) * 2 div 3")).first()[0]
+    g = TemporalGraph(s, True).add(e.where(F.col("ts") < cut)).add(e.where(F.col("ts") >= cut))
+    return long_rows(wx.walks(g, wx.last_batch_seeds(g), wx.WalkOptions(5, P.UNIFORM, None, P.BACKWARD, 5, "portable", 50), 3))

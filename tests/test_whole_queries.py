@@ -20,3 +20,14 @@ def test_zeros_for_unset_nodes(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0])], "node long, features array<float>")
     got = {r.node: r.features for r in fx.dense(g, fx.upsert(None, rows)).collect()}
     assert got == {0: [0, 0], 1: [1, 2], 2: [0, 0], 3: [0, 0]}
+
+
+def test_all_nodes_are_asked(spark, tmp_path):
+    """More users than any fixed range: the queries name each of them and some that are absent."""
+    rows = [(k, k * 7, float(k)) for k in range(450)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, value double")
+    df.selectExpr("event_id", "user_id", "value", "timestamp_micros(event_id * 3600000000) AS ts").write.parquet(str(tmp_path / "events.parquet"))
+    users = {k * 7 for k in range(450)}
+    for name in ("active_nodes_all", "degrees_for_list_all", "count_node_ts_less_all"):
+        named = {r.node for r in QUERIES[name](spark, str(tmp_path)).select("node").distinct().collect()}
+        assert named == users | {-3, -2, -1} | {max(users) + k for k in (1, 2, 3)}, name
