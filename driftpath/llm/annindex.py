@@ -1,21 +1,24 @@
 """Near-duplicate embeddings by a robust-pruned flat graph, searched by range from medoids and verified.
 
-Vectors of one label are dealt to cells around sampled centroids, each vector to its `overlap` nearest, so that
-neighbours share a cell; a cell of more than `cell_cap` vectors is cut into chunks, and each pair of chunks is a task.
-A task cuts its vectors into smaller overlapping shards around its own centroids, builds a robust-pruned graph on each
-shard, and unites the adjacency lists. Every vector is then a query: a greedy search with a beam, from the shards'
-medoids, that goes on through all nodes within the range. In each task some queries are audited against brute force;
-while recall is under `recall`, the beam doubles, and at last the task is scanned. Found pairs are verified by cosine
-in double precision.
-
-Equal vectors of a label are one class. A pair is counted in the first cell that both have, and no pairs leave a task:
-each vector hands on the sum of its partners' rows and the least vector it is connected to.
+Vectors of one label (and length) are dealt to overlapping cells around sampled centroids. A vector's home is its nearest
+centroid; it also visits every cell whose border is within half the linking radius of it. If two vectors at the threshold
+have different homes, the border between those is within that half of one of them, so that they meet in a home of one
+of the two: dealing loses no link. Cells that are still large are split again by centroids of their own (a tree, with no
+bound on the number of cells and no centroids on the driver), unless the split would send most vectors to most cells.
+What is large after that is cut into chunks, and each pair of a chunk of points and a chunk of queries is a task.
+
+A task builds a graph over its points: overlapping shards around own centroids, a robust-pruned list for each point of a
+shard, the lists of all shards united. Every row of the cell is a query: a greedy search with a bounded beam from the
+shards' medoids, then an expansion through all nodes within the range. Some queries of each task are audited against
+brute force; while recall is under `recall`, the beam doubles, and at last the task is scanned. Found pairs are verified
+by cosine in double precision.
+
+Equal vectors of a label are one class. A pair is counted in one of the cells that both are in, settled by their homes,
+and no pairs leave a task: each vector hands on the sum of its partners' rows and the least vector it is connected to.
 
 Vectors that are null, empty, zero, or hold a null or a number that is not finite, and those without a label, link
 with nothing. Repeated ids are rows by themselves; a null id takes part and names no component. Lengths may differ:
 vectors of different lengths do not link. An empty table gives no rows. Other columns are not read.
-
-Limits. Centroids are a sample of at most `most_cells` vectors in all, a stated bound for what is broadcast.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, prepare, staged, thinned
+from .common import components, prepare, staged
 from .simhash import _least
 
 
@@ -86,8 +89,9 @@ class Graph:
                 a, b = part[i], part[kept[i, j]]
                 links += [np.stack([a, b], 1), np.stack([b, a], 1)]  # both ways, so that each node can be reached
         pairs = np.unique(np.concatenate(links), axis=0) if links else np.empty((0, 2), np.int64)
+        self.medoids = sorted(set(self.medoids))
         start = np.searchsorted(pairs[:, 0], np.arange(n + 1))
-        most = min(int(np.diff(start).max(initial=0)), 8 * degree)
+        most = min(int(np.diff(start).max(initial=0)), 4 * degree)
         self.next = np.full((n, max(most, 1)), -1, np.int64)
         for i in range(n):
             to = pairs[start[i] : start[i + 1], 1]
@@ -96,137 +100,279 @@ class Graph:
                 to = np.concatenate([to[: most // 2], to[most // 2 :: max(1, 2 * (len(to) - most // 2) // most)]])[:most]
             self.next[i, : len(to)] = to
 
-    def search(self, queries: np.ndarray, radius: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query's place in `queries`, node) of all nodes found with similarity >= radius."""
-        x, n, q = self.x, len(self.x), len(queries)
-        score = np.full((q, n), -2.0, np.float32)
-        tried = np.zeros((q, n), bool)
-        score[:, self.medoids] = x[queries] @ x[self.medoids].T
+    def _fresh(self, asked: np.ndarray, seen: np.ndarray, rows: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Neighbours of nodes that their queries (rows) have not seen, sorted by query, with their similarity."""
+        n = len(self.x)
+        to = self.next[nodes]
+        i, j = np.nonzero(to >= 0)
+        key = np.unique(rows[i] * n + to[i, j])
+        rows, to = key // n, key % n
+        new = ~seen[rows, to]
+        rows, to = rows[new], to[new]
+        seen[rows, to] = True
+        score = np.empty(len(rows), np.float32)
+        for at in range(0, len(rows), 1 << 14):
+            a, b = rows[at : at + (1 << 14)], to[at : at + (1 << 14)]
+            score[at : at + (1 << 14)] = np.einsum("ij,ij->i", asked[a], self.x[b])
+        return rows, to, score
+
+    def search(self, asked: np.ndarray, radius: float, beam: int, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """(place in asked, node) of all nodes found with similarity >= radius. Each query keeps its `beam` best alone."""
+        n, q = len(self.x), len(asked)
+        seen = np.zeros((q, n), bool)
+        first = asked @ self.x[self.medoids].T
+        seen[:, self.medoids] = True
+        beam, width = max(beam, width), min(width, n)
+        ids = np.full((q, beam), -1, np.int64)
+        score = np.full((q, beam), -3.0, np.float32)  # -3: empty
+        open_ = np.zeros((q, beam), bool)
+        held = min(beam, len(self.medoids))
+        top = np.argsort(-first, axis=1, kind="stable")[:, :held]
+        ids[:, :held] = np.asarray(self.medoids)[top]
+        score[:, :held] = np.take_along_axis(first, top, 1)
+        open_[:, :held] = True
+        r, m = np.nonzero(first >= radius)
+        found = [(r, np.asarray(self.medoids)[m])]
         active = np.arange(q)
-        width = min(4, n)
-        beam = min(beam, n)
         while len(active):
-            open_ = np.where(tried[active], -3.0, score[active])
-            top = np.argpartition(-open_, width - 1, axis=1)[:, :width]
-            best = np.take_along_axis(open_, top, 1)
-            bar = np.minimum(np.partition(score[active], n - beam, axis=1)[:, n - beam], radius)
-            good = (best >= bar[:, None]) & (best > -2)
-            going = good.any(1)
-            r, c = np.nonzero(good)
-            rows, nodes = active[r], top[r, c]
-            tried[rows, nodes] = True
-            to = self.next[nodes]
-            rr, cc = np.nonzero(to >= 0)
-            rows, to = rows[rr], to[rr, cc]
-            new = score[rows, to] == -2.0
-            rows, to = rows[new], to[new]
+            level = np.where(open_[active], score[active], -4.0)
+            best = np.argpartition(-level, min(width, beam) - 1, axis=1)[:, :width]
+            going = np.take_along_axis(level, best, 1) > -3
+            i, j = np.nonzero(going)
+            rows, at = active[i], best[i, j]
+            open_[rows, at] = False
+            rows, to, s = self._fresh(asked, seen, rows, ids[rows, at])
             if len(rows):
-                for at in range(0, len(rows), 1 << 15):
-                    a, b = rows[at : at + (1 << 15)], to[at : at + (1 << 15)]
-                    score[a, b] = np.einsum("ij,ij->i", x[queries[a]], x[b])
-            active = active[going]
-        return np.nonzero(score >= radius)
-
-
-def cell_links(x: np.ndarray, want: np.ndarray | None, threshold: float, recall: float, audit_every: int = 20, beam: int = 16, slack: float = 1e-4) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Verified links (i, j), i != j, both ways, in blocks. want(i, j) says which pairs are asked for."""
-    n = len(x)
-    low = x.astype(np.float32)
+                near = s >= radius
+                found.append((rows[near], to[near]))
+                own, begin, times = np.unique(rows, return_index=True, return_counts=True)
+                place = np.arange(len(rows)) - np.repeat(begin, times)
+                line = np.repeat(np.arange(len(own)), times)
+                wide = beam + int(times.max())
+                a, b, c = np.full((len(own), wide), -1, np.int64), np.full((len(own), wide), -3.0, np.float32), np.zeros((len(own), wide), bool)
+                a[:, :beam], b[:, :beam], c[:, :beam] = ids[own], score[own], open_[own]
+                a[line, beam + place], b[line, beam + place], c[line, beam + place] = to, s, True
+                top = np.argpartition(-b, beam - 1, axis=1)[:, :beam]
+                ids[own], score[own], open_[own] = (np.take_along_axis(x, top, 1) for x in (a, b, c))
+            active = active[open_[active].any(1)]
+        rows, nodes = (np.concatenate(x) for x in zip(*found, strict=True))
+        out = [(rows, nodes)]
+        while len(rows):  # all that is within the range of the query, through nodes that are
+            rows, nodes, s = self._fresh(asked, seen, rows, nodes)
+            rows, nodes = rows[s >= radius], nodes[s >= radius]
+            out.append((rows, nodes))
+        rows, nodes = (np.concatenate(x) for x in zip(*out, strict=True))
+        return rows, nodes
+
+
+def range_links(points: np.ndarray, asked: np.ndarray, threshold: float, recall: float, audit_every: int = 20, beam: int = 16, slack: float = 1e-4, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Verified (i, j), asked[i] within the threshold of points[j], in blocks of queries (a vector itself included)."""
+    low, queries = points.astype(np.float32), asked.astype(np.float32)
+    n = len(points)
     graph = Graph(low)
-    audit = np.arange(0, n, audit_every)
-    true = low[audit] @ low.T >= threshold + slack
+    audit = np.arange(0, len(asked), audit_every)
     while beam < n:
-        i, j = graph.search(audit, threshold, beam)
-        got = np.zeros_like(true)
-        got[i, j] = True
-        if (got & true).sum() >= recall * true.sum():
+        got = true = 0
+        for at in range(0, len(audit), block):
+            rows = audit[at : at + block]
+            want = queries[rows] @ low.T >= threshold + slack
+            i, j = graph.search(queries[rows], threshold, beam)
+            got, true = got + int(want[i, j].sum()), true + int(want.sum())
+        if got >= recall * true:
             break
         beam *= 2
-    for at in range(0, n, 256):
-        rows = np.arange(at, min(at + 256, n))
-        i, j = graph.search(rows, threshold - slack, beam) if beam < n else np.nonzero(low[rows] @ low.T >= threshold - slack)
-        i = rows[i]
-        keep = i != j if want is None else (i != j) & want(i, j)
-        i, j = i[keep], j[keep]
-        exact = np.einsum("ij,ij->i", x[i], x[j]) >= threshold if len(i) else np.zeros(0, bool)
+    for at in range(0, len(asked), block):
+        own = queries[at : at + block]
+        i, j = graph.search(own, threshold - slack, beam) if beam < n else np.nonzero(own @ low.T >= threshold - slack)
+        i = i + at
+        exact = np.zeros(len(i), bool)
+        for k in range(0, len(i), 1 << 14):
+            exact[k : k + (1 << 14)] = np.einsum("ij,ij->i", asked[i[k : k + (1 << 14)]], points[j[k : k + (1 << 14)]]) >= threshold
         yield i[exact], j[exact]
 
 
+def cell_links(x: np.ndarray, want, threshold: float, recall: float, **kw) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Verified links (i, j), i != j, both ways, among the rows of x, in blocks. want(i, j) says which pairs are asked for."""
+    for i, j in range_links(x, x, threshold, recall, **kw):
+        keep = i != j if want is None else (i != j) & want(i, j)
+        yield i[keep], j[keep]
+
+
+def _matrix(column) -> np.ndarray:
+    """A list column of one length as rows of doubles, scaled to unit length."""
+    flat = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    x = np.asarray(flat.flatten(), float).reshape(len(flat), -1)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def borders(x: np.ndarray, centres: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Home of each row of x, and the matrix of cells that it is in: those with a border to the home within radius / 2."""
+    s = x @ centres.T
+    own = s.argmax(1)
+    apart = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 0))
+    inside = s[np.arange(len(x)), own][:, None] - s <= (radius / 2 + 1e-6) * apart[own] + 1e-9
+    inside[np.arange(len(x)), own] = True
+    return own, inside
+
+
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): rows with `ok`; classes of equal (label, vector): least vec_id, rows, unit vector in doubles."""
-    v = F.transform("embedding", lambda x: x.cast("double") + 0.0)
+    """(rows, classes): rows with `ok`; classes of equal (label, vector): least vec_id and number of rows."""
+    kind = vectors.schema["embedding"].dataType.elementType.typeName()
+    kind = kind if kind == "float" else "double"
+    v = F.transform("embedding", lambda x: x.cast(kind) + F.lit(0.0).cast(kind))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), v.alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(F.col("label").isNotNull() & fine, F.lit(False)))
     same = rows.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("w"))
-    big = F.array_max(F.transform("v", F.abs))
-    scaled = F.transform("v", lambda x: x / big)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    return rows, same.withColumn("unit", F.transform(scaled, lambda x: x / norm))
+    return rows, same
+
+
+def _split(state: DataFrame, radius: float, cell: int, cell_cap: int, fan: int, most: float, block: int) -> tuple[DataFrame, DataFrame] | None:
+    """(cells that stay, cells one level down), or None if no cell is over cell_cap points.
+
+    Centroids are rows whose content hashes low, so the cells do not depend on how rows are dealt out.
+    """
+    size = state.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("point").alias("points"))
+    big = staged(size.where(F.col("points") > cell_cap).select("key", "n", F.least(F.lit(fan), F.ceil(F.col("n") / cell)).cast("int").alias("k"), F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    if big.limit(1).count() == 0:
+        return None
+    spread = 1 << 30
+    part = state.join(big, "key")
+    low = F.pmod(F.xxhash64("h", F.lit("centre"), F.size("path")), F.lit(spread))
+    some = part.where(low < F.lit(float(spread)) * (2 * F.col("k") + 16) / F.col("n")).select("key", "v", "c", "k", "blocks", low.alias("low"))
+    centres = some.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("low", "v"))).where("r <= k")
+    names = state.columns
+    rows = part.withColumn("block", F.pmod(F.xxhash64("h", F.lit("block")), F.col("blocks")).cast("int")).withColumn("centre", F.lit(0))
+    heads = centres.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    heads = heads.select(*[F.col(n) if n in ("key", "v", "c") else F.lit(None).cast(state.schema[n].dataType).alias(n) for n in names], "block", F.col("r").alias("centre"))
+    fields = [n for n in names if n != "v"]
+
+    def route(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        head = table.filter(pc.greater(table["centre"], 0)).sort_by("centre")
+        own = table.filter(pc.equal(table["centre"], 0))
+        homes, lists = [np.empty(0, np.int64)], []
+        if len(head):
+            mid = _matrix(head["v"])
+            for at in range(0, len(own), 1024):
+                home, inside = borders(_matrix(own["v"][at : at + 1024]), mid, radius)
+                homes.append(home)
+                r, j = np.nonzero(inside)
+                lists += [x.tolist() for x in np.split(j, np.cumsum(np.bincount(r, minlength=len(home)))[:-1])]
+        else:
+            homes, lists = [np.zeros(len(own), np.int64)], [[0]] * len(own)
+        cols = [own[n] for n in fields] + [own["v"], pa.array(np.concatenate(homes), pa.int32()), pa.array(lists, pa.list_(pa.int32()))]
+        return pa.table(cols, names=[*fields, "v", "own", "into"])
+
+    kind = state.schema["v"].dataType.elementType.typeName()
+    ddl = ", ".join(f"{n} {state.schema[n].dataType.simpleString()}" for n in fields) + f", v array<{kind}>, own int, into array<int>"
+    routed = staged(rows.select(*names, "block", "centre").unionByName(heads).groupBy("key", "block").applyInArrow(route, ddl))
+    worth = routed.groupBy("key").agg(F.avg(F.size("into")).alias("copies")).join(big, "key").where(F.col("copies") <= most * F.col("k")).select("key")
+    worth = staged(worth)
+    stay = state.join(worth, "key", "left_anti")
+    to = F.col("to")
+    down = routed.join(worth, "key").withColumn("to", F.explode("into")).select(
+        F.concat_ws(".", "key", to).alias("key"), F.concat("path", F.array(to)).alias("path"), F.concat("owns", F.array("own")).alias("owns"),
+        F.concat("cells", F.array("into")).alias("cells"), (to == F.col("own")).alias("point"), "c", "h", "w", "v",
+    )
+    return stay, down
+
+
+def _meets(path: list, owns: np.ndarray, cells: list) -> callable:
+    """Which pairs (i, j) of rows are counted in the cell at `path`: at each level the least home of the two that both are in."""
+    known = []
+    for level in range(len(path)):
+        held = [np.asarray(x[level]) for x in cells]
+        rows = np.repeat(np.arange(len(held)), [len(x) for x in held])
+        known.append(np.sort(rows * (1 << 20) + np.concatenate(held)) if held else np.empty(0, np.int64))
+
+    def has(level, rows, cell):
+        key = rows * (1 << 20) + cell
+        at = np.minimum(np.searchsorted(known[level], key), len(known[level]) - 1)
+        return known[level][at] == key
+
+    def wanted(i, j):
+        out = np.ones(len(i), bool)
+        for level, t in enumerate(path):
+            a, b = owns[i, level], owns[j, level]
+            far = 1 << 20
+            out &= np.minimum(np.where(has(level, j, a), a, far), np.where(has(level, i, b), b, far)) == t
+        return out
+
+    return wanted
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.98, cell: int = 1024, cell_cap: int = 2048, overlap: int = 2, recall: float = 0.995, most_cells: int = 65_536
+    vectors: DataFrame, threshold: float = 0.98, cell: int = 1024, cell_cap: int = 2048, recall: float = 0.995, fan: int = 1024, most: float = 0.5, levels: int = 6
 ) -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row for each vector."""
+    """vec_id, n_links, component_id, kept: one row for each vector.
+
+    Cells of over cell_cap points are split by up to `fan` centroids, one for about `cell` rows, where a row then goes to no
+    more than the share `most` of the new cells on average; `levels` bounds the depth, and chunks do the rest exactly.
+    """
     spark = vectors.sparkSession
     prepare(spark)
+    radius = float(np.sqrt(2 - 2 * threshold))
     rows, same = classes(vectors)
-    same = staged(same.withColumn("c", F.monotonically_increasing_id()).withColumn("g", F.concat_ws(":", F.size("v"), "label")))
-    sizes = {r.g: r.n for r in same.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = max(1, sum(sizes.values()))
-    centres: dict[str, list] = {}
-    per = max(cell, -(-total // most_cells))
-    wanted = {g: -(-n // per) for g, n in sizes.items()}
-    picked = thinned(same.select("g", "c", "unit"), sizes, "g", max([8, *(2 * k for k in wanted.values())]), "c")
-    for r in picked.select("g", "unit").toLocalIterator():
-        held = centres.setdefault(r.g, [])
-        if len(held) < wanted[r.g]:
-            held.append(r.unit)
-    shared = spark.sparkContext.broadcast({g: np.array(x, np.float32) for g, x in centres.items()})
-
-    def deal(batches: Iterator) -> Iterator:
+    same = staged(same.withColumn("c", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("v")).withColumn("g", F.concat_ws(":", F.size("v"), F.col("label").cast("string"))))
+    none = F.array().cast("array<int>")
+    state = same.select(
+        F.col("g").alias("key"), none.alias("path"), none.alias("owns"), F.array().cast("array<array<int>>").alias("cells"), F.lit(True).alias("point"), "c", "h", "w", "v",
+    )
+    settled = None
+    for _ in range(levels):
+        found = _split(state, radius, cell, cell_cap, fan, most, 8192)
+        if found is None:
+            break
+        settled = found[0] if settled is None else settled.unionByName(found[0])
+        state = staged(found[1])
+    state = state if settled is None else staged(settled.unionByName(state))
+
+    size = state.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.ceil(F.count_if("point") / cell_cap).cast("int").alias("a"), F.ceil(F.count(F.lit(1)) / (4 * cell_cap)).cast("int").alias("b")
+    ).where("n > 1 and a > 0").drop("n")
+    met = state.join(size, "key")
+    points = met.where("point").withColumn("pa", F.pmod(F.xxhash64("h", F.lit("chunk")), F.col("a")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+    asked = met.withColumn("qb", F.pmod(F.xxhash64("h", F.lit("query")), F.col("b")).cast("int")).withColumn("pa", F.explode(F.sequence(F.lit(0), F.col("a") - 1)))
+    tasks = points.withColumn("query", F.lit(False)).unionByName(asked.withColumn("query", F.lit(True))).drop("a", "b")
+
+    def link(table):
         import pyarrow as pa
-
-        for b in batches:
-            cells, names = [], []
-            for g, u in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
-                known = shared.value.get(g)
-                near = [0] if known is None or len(known) < 2 else np.argsort(-(known @ np.asarray(u, np.float32)), kind="stable")[:overlap].tolist()
-                cells.append(sorted(near))
-                names.append([f"{g}:{k}" for k in sorted(near)])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], ["g", "c", "w", "unit", "cells", "names"])
-
-    dealt = same.select("g", "c", "w", "unit").mapInArrow(deal, "g string, c long, w long, unit array<double>, cells array<int>, names array<string>")
-    dealt = staged(dealt.withColumn("name", F.explode("names")).withColumn("at", F.get("cells", F.array_position("names", F.col("name")).cast("int") - 1)).drop("names", "g"))
-    chunks = dealt.groupBy("name").count().withColumn("chunks", F.ceil(F.col("count") / cell_cap).cast("int")).where("count > 1")
-    own = F.pmod(F.xxhash64("c", F.lit("chunk")), F.col("chunks")).cast("int")
-    tasks = dealt.join(chunks, "name").withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tasks = tasks.withColumn("i", F.least("own", "o")).withColumn("j", F.greatest("own", "o")).select("name", "i", "j", "own", "at", "c", "w", "unit", "cells")
-
-    def link(key, pdf):
-        import pandas as pd
-
-        x = np.array(pdf["unit"].tolist(), float)
-        at, part, w = int(pdf["at"].iloc[0]), pdf["own"].to_numpy(), pdf["w"].to_numpy()
-        cells = np.full((len(x), overlap), -1)
-        for r, held in enumerate(pdf["cells"]):
-            cells[r, : len(held)] = held
-        before = np.where((cells >= 0) & (cells < at), cells, -1)
-
-        def want(i, j):
-            met = ((before[i][:, :, None] == before[j][:, None, :]) & (before[i][:, :, None] >= 0)).any((1, 2))
-            return ~met & ((part[i] != part[j]) if key[1] != key[2] else True)
-
-        count, root = np.zeros(len(x), np.int64), np.arange(len(x))
-        for i, j in cell_links(x, want, threshold, recall):
-            np.add.at(count, i, w[j])
-            own = np.flatnonzero(root != np.arange(len(x)))
-            root = _least(len(x), np.concatenate([i, own]), np.concatenate([j, root[own]]))
-        c = pdf["c"].to_numpy()
-        return pd.DataFrame({"c": c, "n": count, "to": c[root]})
-
-    found = staged(tasks.groupBy("name", "i", "j").applyInPandas(link, "c long, n long, to long"))
+        import pyarrow.compute as pc
+
+        p, q = table.filter(pc.invert(table["query"])), table.filter(table["query"])
+        nothing = pa.table({"c": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "to": pa.array([], pa.int64())})
+        if not len(p) or not len(q):
+            return nothing
+        both = pa.concat_tables([p, q])
+        c, h, w = (both[n].to_numpy() for n in ("c", "h", "w"))
+        ids, at = np.unique(c, return_inverse=True)
+        weight = np.zeros(len(ids), np.int64)
+        weight[at] = w
+        path = p["path"][0].as_py()
+        owns = np.array(both["owns"].to_pylist(), int).reshape(len(both), len(path))
+        wanted = _meets(path, owns, both["cells"].to_pylist() if path else [])
+        visits = ~q["point"].to_numpy(zero_copy_only=False)
+        count, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        m = len(p)
+        for i, j in range_links(_matrix(p["v"]), _matrix(q["v"]), threshold, recall):
+            # A pair of points is found from both sides; the query of greater content counts it.
+            later = (h[m + i] > h[j]) | ((h[m + i] == h[j]) & (c[m + i] > c[j]))
+            keep = visits[i] | later
+            i, j = i[keep], j[keep]
+            use = wanted(m + i, j)
+            a, b = at[m + i[use]], at[j[use]]
+            np.add.at(count, a, weight[b])
+            np.add.at(count, b, weight[a])
+            own = np.flatnonzero(root != np.arange(len(ids)))
+            root = _least(len(ids), np.concatenate([a, own]), np.concatenate([b, root[own]]))
+        some = np.flatnonzero(count)
+        return pa.table({"c": ids[some], "n": count[some], "to": ids[root[some]]})
+
+    found = staged(tasks.groupBy("key", "pa", "qb").applyInArrow(link, "c long, n long, to long"))
     links = found.groupBy("c").agg(F.sum("n").alias("n"))
     joined = components(found.where("c <> to").select(F.col("c").alias("src"), F.col("to").alias("dst")))
     group = same.select("label", "v", "c", "w", "least").join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
@@ -238,35 +384,40 @@ def near_duplicates(
 
 
 def audit(vectors: DataFrame, result: DataFrame, threshold: float = 0.98, block: int = 2048) -> float:
-    """Recall of n_links against brute force: queries are rows whose id is divisible by 20, held against all, in blocks."""
+    """Recall of n_links against brute force: queries are rows whose id is divisible by 20, held against all, in blocks.
+
+    result must have one row for each vec_id.
+    """
     rows, _ = classes(vectors)
-    ok = staged(rows.where("ok").withColumn("unit", F.col("v")))
+    ok = staged(rows.where("ok").select("vec_id", F.concat_ws(":", F.size("v"), F.col("label").cast("string")).alias("g"), "v"))
     spark = vectors.sparkSession
     prepare(spark)
-    asked = ok.where("vec_id % 20 = 0").select("vec_id", "label", "v").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-ok.count() // (20 * block))))))
-    asked = staged(asked)
+    asked = ok.where("vec_id % 20 = 0")
+    blocks = max(1, -(-asked.count() // block))
+    asked = staged(asked.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))))
     wanted = got = 0
-    for k in [r.b for r in asked.select("b").distinct().collect()]:
-        held = asked.where(F.col("b") == k).collect()
+    for k in range(blocks):
         by: dict = {}
-        for r in held:
-            by.setdefault((r.label, len(r.v)), []).append(r)
-        shared = spark.sparkContext.broadcast({key: ([r.vec_id for r in rs], np.array([np.array(r.v) / np.linalg.norm(r.v) for r in rs])) for key, rs in by.items()})
+        for r in asked.where(F.col("b") == k).collect():
+            by.setdefault(r.g, []).append(r)
+        shared = spark.sparkContext.broadcast({g: (np.array([r.vec_id for r in rs]), np.array([np.array(r.v, float) / np.linalg.norm(np.array(r.v, float)) for r in rs])) for g, rs in by.items()})
 
         def run(batches: Iterator, shared=shared) -> Iterator:
-            import pandas as pd
+            import pyarrow as pa
 
-            for pdf in batches:
+            for b in batches:
                 out: dict = {}
-                for vec, label, v in zip(pdf["vec_id"], pdf["label"], pdf["v"], strict=True):
-                    known = shared.value.get((label, len(v)))
+                for vec, g, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                    known = shared.value.get(g)
                     if known is not None:
-                        for i in np.flatnonzero(known[1] @ (np.asarray(v) / np.linalg.norm(v)) >= threshold):
-                            if known[0][i] != vec:
-                                out[known[0][i]] = out.get(known[0][i], 0) + 1
-                yield pd.DataFrame({"vec_id": list(out), "n": list(out.values())}).astype("int64")
+                        x = np.asarray(v.values, float)
+                        for i in known[0][known[1] @ (x / np.linalg.norm(x)) >= threshold].tolist():
+                            if i != vec:
+                                out[i] = out.get(i, 0) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], ["vec_id", "n"])
 
-        true = ok.select("vec_id", "label", "v").mapInPandas(run, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
+        true = ok.mapInArrow(run, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
         r = true.join(result, "vec_id").agg(F.sum("n"), F.sum(F.least("n", "n_links"))).first()
         wanted, got = wanted + (r[0] or 0), got + (r[1] or 0)
+        shared.unpersist()
     return got / wanted if wanted else 1.0

@@ -59,6 +59,44 @@ def test_no_vectors(spark):
     assert annindex.near_duplicates(df.where("vec_id >= 10 and vec_id < 15")).where("n_links = 0 and kept").count() == 5
 
 
+def test_ids_and_columns(spark):
+    """Repeated and null ids, and columns of the names used inside."""
+    from pyspark.sql import functions as F
+
+    a, b, c = [1.0, 0.0, 0.0], [1.0, 0.01, 0.0], [0.0, 1.0, 0.0]
+    rows = [(5, a, 1), (5, b, 1), (5, c, 1), (None, a, 1), (None, c, 2), (9, b, 2), (7, c, None), (3, c, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    df = df.withColumns({k: F.lit("clash") for k in ("key", "v", "c", "h", "w", "own", "point", "least", "component", "ok", "kept")})
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in annindex.near_duplicates(df).collect()), key=str)
+    want = [(5, 2, 5, True), (5, 2, 5, True), (5, 0, 5, True), (None, 2, 5, True), (None, 1, 3, True), (9, 0, 9, True), (7, 0, 7, True), (3, 1, 3, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_borders_lose_no_pair():
+    """Any two vectors at the threshold share the home of one of them."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 8))
+    x[1500:] = x[:1500] + rng.normal(size=(1500, 8)) * 0.12
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own, inside = annindex.borders(x, x[rng.choice(3000, 40, replace=False)], float(np.sqrt(2 - 2 * 0.98)))
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.98, 1))
+    assert len(i) > 1000 and (own[i] != own[j]).sum() > 100
+    assert (inside[i, own[j]] | inside[j, own[i]]).all() and inside.mean() < 0.5
+
+
+def test_cells_split_twice(spark):
+    """Small cells: two levels and chunks, all links found."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2400, 12))
+    x[800:1600] = x[:800] + rng.normal(size=(800, 12)) * 0.04
+    rows = [(i, [float(v) for v in u], 1) for i, u in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = (x @ x.T >= 0.98).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in annindex.near_duplicates(df, cell=40, cell_cap=60, fan=6).collect()}
+    assert all(got[i] <= true[i] for i in got) and sum(got.values()) >= 0.99 * true.sum() > 1000
+
+
 def test_graph_search_recall():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 24))
