@@ -1,11 +1,14 @@
 """Best-fit packing of documents into token sequences by a grouping genetic algorithm on islands.
 
 A document's ids end with `end_id`. One longer than `capacity` is cut into pieces of `capacity` ids, of which the first
-may be shorter. Pieces of full length are sequences by themselves; the rest is dealt into shards of about `shard_items`
-by a hash. On each shard several islands evolve packings from best-fit-decreasing and shuffled best-fit starts:
-crossover injects whole well-filled bins of one parent into another, drops the bins that hold an injected item too, and
-best-fits the displaced items; between epochs the best packing of an island moves to the next. An island whose best
-packing has as few bins as the sum of lengths allows rests.
+may be shorter. Pieces of full length are sequences by themselves; the rest is ranked by length and dealt out in turn to
+shards of about `shard_items`, so that each shard has the same mix of lengths. On each shard several islands evolve
+packings from best-fit-decreasing and shuffled best-fit starts: crossover injects whole well-filled bins of one parent into
+another, drops the bins that hold an injected item too, and best-fits the displaced items; between epochs the best packing
+of an island moves to the next. An island whose best packing has as few bins as the sum of lengths allows rests.
+
+What lies in bins with more than `spare` ids of room is then packed again, over all shards, round by round, until it fits
+one shard or a round saves nothing.
 
 Null and empty texts are documents of the end id alone; a null doc_id or a repeated row is packed like any other;
 an empty table gives no rows. Extra columns are not read.
@@ -17,9 +20,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import global_rank
 from . import tokens
 from .common import prepare, staged
 
@@ -155,20 +159,37 @@ def _unpacked(genome: bytes) -> list[list[int]]:
     return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(at[order])) + 1)] if len(at) else []
 
 
-def pack(items: DataFrame, capacity: int = 1024, shard_items: int = 8192, islands: int = 2, epochs: int = 2, generations: int = 6, population: int = 4) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 1024, shard_items: int = 8192, spare: int | None = None, **kw) -> DataFrame:
     """items has length and any columns; adds sequence_id (long) and offset (long). items must be a staged table."""
-    spark = items.sparkSession
-    prepare(spark)
-    loose = items.where(F.col("length") < capacity)
-    n = loose.count()
-    shards = max(1, -(-n // shard_items))
-    w = Window.partitionBy("_shard").orderBy(F.desc("length"), "_row")
-    dealt = staged(
-        items.withColumn("_row", F.monotonically_increasing_id())
-        .withColumn("_shard", F.when(F.col("length") < capacity, F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("int")))
-    )
-    full = dealt.where("_shard is null").withColumn("sequence_id", -1 - F.col("_row")).withColumn("offset", F.lit(0).cast("long"))
-    small = staged(dealt.where("_shard is not null").withColumn("_k", F.row_number().over(w) - 1))
+    prepare(items.sparkSession)
+    spare = capacity // 32 if spare is None else spare
+    rows = staged(items.withColumn("_row", F.monotonically_increasing_id()))
+    full = rows.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col("_row")).withColumn("offset", F.lit(0).cast("long"))
+    left = rows.where(F.col("length") < capacity).select("_row", "length")
+    places = None
+    for level in range(64):
+        n = left.count()
+        shards = max(1, -(-n // shard_items))
+        found = _round(left, shards, level, capacity, **kw)
+        if level:
+            known = before.agg(F.countDistinct("sequence_id")).first()[0]
+            if found.agg(F.countDistinct("sequence_id")).first()[0] >= known:
+                places = places.unionByName(before)
+                break
+        if shards == 1:
+            places = found if places is None else places.unionByName(found)
+            break
+        closed, before = found.where(F.col("room") <= spare), found.where(F.col("room") > spare)
+        places = closed if places is None else places.unionByName(closed)
+        left = staged(rows.select("_row", "length").join(before.select("_row"), "_row", "left_semi"))
+    some = rows.join(places.select("_row", "sequence_id", "offset"), "_row")
+    return full.select(*items.columns, "sequence_id", "offset").unionByName(some.select(*items.columns, "sequence_id", "offset"))
+
+
+def _round(items: DataFrame, shards: int, level: int, capacity: int, islands: int = 2, epochs: int = 2, generations: int = 6, population: int = 4) -> DataFrame:
+    """items(_row, length) packed in shards: _row, sequence_id, offset, and the room left in the sequence; staged."""
+    ranked = global_rank(items.withColumn("_n", -F.col("length")), ["_n", "_row"], "_rank")
+    small = staged(ranked.select("_row", "length", (F.col("_rank") % shards).cast("int").alias("_shard"), F.floor(F.col("_rank") / shards).cast("int").alias("_k")))
 
     state = "shard int, island int, lengths binary, genomes array<binary>, bins int, least int"
 
@@ -217,15 +238,15 @@ def pack(items: DataFrame, capacity: int = 1024, shard_items: int = 8192, island
                 at, size = np.frombuffer(r.genome, "<i4"), np.frombuffer(r.lengths, "<i4").astype("i8")
                 order = np.argsort(at, kind="stable")
                 run = np.cumsum(size[order]) - size[order]
+                room = capacity - np.bincount(at, size).astype("i8")
                 first = np.flatnonzero(np.diff(at[order], prepend=-1))
                 offset = np.empty(len(at), "i8")
                 offset[order] = run - np.repeat(run[first], np.diff(np.append(first, len(at))))
-                yield pd.DataFrame({"_shard": r.shard, "_k": np.arange(len(at), dtype="i4"), "sequence_id": r.shard * (1 << 32) + at.astype("i8"), "offset": offset})
+                yield pd.DataFrame({"_shard": r.shard, "_k": np.arange(len(at), dtype="i4"), "sequence_id": (level << 57) + r.shard * (1 << 28) + at.astype("i8"), "offset": offset, "room": room[at]})
 
     best = on.groupBy("shard").agg(F.min_by(F.struct("lengths", F.col("genomes")[0].alias("genome")), F.struct("bins", "island")).alias("b"))
-    where = best.select("shard", "b.lengths", "b.genome").mapInPandas(placed, "_shard int, _k int, sequence_id long, offset long")
-    some = small.join(where, ["_shard", "_k"]).drop("_k")
-    return full.select(*items.columns, "sequence_id", "offset").unionByName(some.select(*items.columns, "sequence_id", "offset"))
+    where = best.select("shard", "b.lengths", "b.genome").mapInPandas(placed, "_shard int, _k int, sequence_id long, offset long, room long")
+    return staged(small.join(where, ["_shard", "_k"]).select("_row", "sequence_id", "offset", "room"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, with_ids: bool = False, **kw) -> DataFrame:

@@ -91,14 +91,15 @@ class _Encoder:
                 if len(short) < _CACHED // 2:
                     cache.update(short)
         cuts = [self.cut(x) if x else [] for x in texts]
-        new = {k for c in cuts if c for k in c if k not in chunks}
+        own = set().union(*filter(None, cuts))
+        new = own.difference(chunks)
         parts = {k: self.parts(k) for k in new}
         unknown = set().union(*parts.values()).difference(self.pieces)
         if unknown:
             self.learn(list(unknown))
         piece = self.pieces.__getitem__
         chunks.update({k: piece(p[0]) if len(p) == 1 else b"".join(map(piece, p)) for k, p in parts.items()})
-        get = chunks.__getitem__
+        get = dict(zip(own, map(chunks.__getitem__, own), strict=True)).__getitem__  # small, so that it stays in the processor's cache
         out = [self.raw([x])[0] if c is None else b"".join(map(get, c)) for x, c in zip(texts, cuts, strict=True)]
         for k in new:
             if len(k) > _LONGEST:

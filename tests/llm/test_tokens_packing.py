@@ -79,6 +79,35 @@ def test_islands_improve_on_best_fit():
     assert packing._unpacked(packing._packed(found[0], 900)) == [sorted(b) for b in found[0]]
 
 
+def test_islands_beat_best_fit():
+    """Three lengths to a bin that fill it exactly: best-fit-decreasing wastes what crossover finds."""
+    rng = np.random.default_rng(1)
+    for _ in range(3):
+        lengths = []
+        for _ in range(60):
+            a = int(rng.integers(260, 420))
+            b = int(rng.integers(260, min(420, 1024 - a - 250)))
+            lengths += [a, b, 1024 - a - b]
+        greedy = packing._best_fit(1024, lengths, sorted(range(180), key=lambda i: -lengths[i]))
+        assert len(packing.evolve(lengths, 1024, 1, 100, 8)[0]) < len(greedy.bins)
+
+
+def test_open_bins_are_packed_again(spark):
+    """Shards that each end with open bins: the second round joins them."""
+    from driftpath.llm.common import staged
+
+    items = staged(spark.range(4000).selectExpr("id as doc_id", "cast(1 + pmod(id * 7919, 700) as long) as length"))
+    rows = packing.pack(items, shard_items=250, islands=2, epochs=2).collect()
+    seqs = defaultdict(list)
+    for r in rows:
+        seqs[r.sequence_id].append((r.offset, r.length))
+    assert sorted(r.doc_id for r in rows) == list(range(4000))
+    for own in seqs.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 1024
+    assert len(seqs) <= -(-sum(r.length for r in rows) // 1024) + 2
+
+
 def test_many_shards_and_migration(spark):
     items = spark.range(3000).selectExpr("id as doc_id", "300 + (id * 7919) % 420 as length")
     from driftpath.llm.common import staged
