@@ -6,9 +6,9 @@ unmarked words is marked in both, again and again, down to runs of `tile` words;
 moved passages count as much as those in place. The share of the item's words in tiles is its coverage; at `threshold`
 or more the document is contaminated.
 
-The benchmark is used in blocks of at most about `block_words` words; each is small enough to send to all executors,
-and all documents meet each block, so its size has no bound. Items of fewer than `seed` words match nothing. Null and
-empty texts match nothing; repeated rows are each judged; an empty table gives no rows; with no item nothing matches.
+The benchmark is used in blocks of at most about `block_words` words, one after the other: a block is small enough to
+send to all executors, all documents meet it, and it is let go before the next, so the benchmark's size has no bound. An
+item of fewer than `seed` words is its own seed and matches whole. Null and empty texts match nothing; repeated rows are each judged; an empty table gives no rows; with no item nothing matches.
 Item ids may be null and may repeat: rows are items by themselves, and the least id that is best is named.
 """
 
@@ -20,10 +20,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text
+from .common import per_text, staged
 
 _WORD = re.compile(r"[^\W_]+")
 _BASE = 0x9E3779B97F4A7C15
+_MANY = 20_000
 HITS = "array<struct<item_id:long,coverage:double,words:int>>"
 
 
@@ -44,6 +45,8 @@ def tiles(a: np.ndarray, b: np.ndarray, tile: int) -> list[tuple[int, int, int]]
     ha, hb = runs(a, tile), runs(b, tile)
     order = np.argsort(hb, kind="stable")
     low, high = np.searchsorted(hb[order], ha, "left"), np.searchsorted(hb[order], ha, "right")
+    if int((high - low).sum()) > _MANY:
+        return _dense_tiles(a, b, tile)
     pairs = [(i, int(j)) for i in np.flatnonzero(high > low).tolist() for j in order[low[i] : high[i]] if (a[i : i + tile] == b[j : j + tile]).all()]
     free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
     out = []
@@ -71,33 +74,63 @@ def tiles(a: np.ndarray, b: np.ndarray, tile: int) -> list[tuple[int, int, int]]
     return out
 
 
+def _dense_tiles(a: np.ndarray, b: np.ndarray, tile: int) -> list[tuple[int, int, int]]:
+    """The same tiles, for texts that repeat so much that pairs of runs would be too many: one row of lengths at a time."""
+    free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
+    out = []
+    while True:
+        most, best = tile, []
+        length = np.zeros(len(b) + 1, np.int64)
+        for i in range(len(a) - 1, -1, -1):
+            same = (b == a[i]) & free_b if free_a[i] else np.zeros(len(b), bool)
+            length = np.append(np.where(same, length[1:] + 1, 0), 0)
+            top = int(length.max())
+            if top >= most:
+                if top > most:
+                    most, best = top, []
+                best.append((i, np.flatnonzero(length == most)))
+        if not best:
+            return out
+        for i, at in reversed(best):
+            for j in at.tolist():
+                if free_a[i : i + most].all() and free_b[j : j + most].all():
+                    free_a[i : i + most] = False
+                    free_b[j : j + most] = False
+                    out.append((i, j, most))
+                    break  # these places of a are taken
+
+
 class Block:
     """Benchmark items as word ids, with the hashes of their seeds."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], seed: int, tile: int, threshold: float) -> None:
         self.seed, self.tile, self.threshold = seed, tile, threshold
         words = [(i, _WORD.findall((t or "").lower())) for i, t in items]
-        words = [(i, w) for i, w in words if len(w) >= seed]
+        words = [(i, w) for i, w in words if w]
         self.vocab = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in words for w in ws}))}
         self.items = [(i, np.array([self.vocab[w] for w in ws], np.int64)) for i, ws in words]
-        pairs = sorted({(int(h), k) for k, (_, ids) in enumerate(self.items) for h in runs(ids, seed)})
-        self.hashes = np.array([h for h, _ in pairs], np.uint64)
-        self.owner = np.array([k for _, k in pairs], np.int64)
+        #: By length of seed: the hashes of seeds in order, and the items that they belong to.
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in sorted({min(seed, len(ids)) for _, ids in self.items}):
+            pairs = sorted({(int(h), k) for k, (_, ids) in enumerate(self.items) if min(seed, len(ids)) == size for h in runs(ids, size)})
+            self.seeds[size] = np.array([h for h, _ in pairs], np.uint64), np.array([k for _, k in pairs], np.int64)
 
     def judge(self, text: str | None) -> list[dict]:
-        if not len(self.hashes):
+        if not self.seeds:
             return []
         get = self.vocab.get
         ids = np.array([get(w, 0) for w in _WORD.findall((text or "").lower())], np.int64)
-        if len(ids) < self.seed:
-            return []
-        whole = np.convolve(ids > 0, np.ones(self.seed, int), "valid") == self.seed
-        found = runs(ids, self.seed)[whole]
-        low = np.searchsorted(self.hashes, found, "left")
-        high = np.searchsorted(self.hashes, found, "right")
-        some = np.unique(np.stack([low, high], 1)[high > low], axis=0)
+        near_items: set[int] = set()
+        for size, (hashes, owner) in self.seeds.items():
+            if len(ids) < size:
+                continue
+            whole = np.convolve(ids > 0, np.ones(size, int), "valid") == size
+            found = runs(ids, size)[whole]
+            low, high = np.searchsorted(hashes, found, "left"), np.searchsorted(hashes, found, "right")
+            for x, y in np.unique(np.stack([low, high], 1)[high > low], axis=0):
+                near_items.update(owner[x:y].tolist())
         out = []
-        for k in sorted({int(x) for a, b in some for x in self.owner[a:b]}):
+        for k in sorted(near_items):
             item, own = self.items[k]
             known = np.isin(ids, own)
             near = np.where(known, ids, 0)
@@ -105,13 +138,14 @@ class Block:
             keep[1:] |= known[:-1]
             near = near[keep]
             near[near == 0] = -1 - np.arange((near == 0).sum())
+            tile = min(self.tile, len(own))
             covered = np.zeros(len(own), bool)
-            for at in np.flatnonzero(np.isin(runs(own, self.tile), runs(near, self.tile))):
-                covered[at : at + self.tile] = True
+            for at in np.flatnonzero(np.isin(runs(own, tile), runs(near, tile))):
+                covered[at : at + tile] = True
             if covered.mean() < self.threshold and self.threshold > 0:
                 continue  # tiles can't cover more
-            n = sum(x[2] for x in tiles(own, near, self.tile))
-            if n / len(own) >= self.threshold:
+            n = sum(x[2] for x in tiles(own, near, tile))
+            if n / len(own) >= (1 if len(own) < self.seed else self.threshold):
                 out.append({"item_id": item, "coverage": n / len(own), "words": n})
         return out
 
@@ -122,10 +156,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = 5, tile: in
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = bench.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)))).first()[0] or 0
     blocks = max(1, -(-size // (5 * block_words)))
-    out = docs.withColumn("_dp_found", F.array().cast(HITS))
+    rows = docs if blocks == 1 else staged(docs.withColumn("_dp_row", F.monotonically_increasing_id()))
+    found = None
     for k in range(blocks):
-        rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else bench
-        block = spark.sparkContext.broadcast(Block([(r.item_id, r.text) for r in rows.collect()], seed, tile, threshold))
+        part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else bench
+        block = spark.sparkContext.broadcast(Block([(r.item_id, r.text) for r in part.collect()], seed, tile, threshold))
 
         def run(texts: list, block=block) -> list:
             import pyarrow as pa
@@ -133,8 +168,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = 5, tile: in
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("words", pa.int32())]))
             return [pa.array([block.value.judge(x) for x in texts], kind)]
 
-        out = per_text(out, run, f"_dp_more {HITS}").withColumn("_dp_found", F.concat("_dp_found", "_dp_more")).drop("_dp_more")
-    return out
+        if blocks == 1:
+            return per_text(rows, run, f"_dp_found {HITS}")
+        more = staged(per_text(rows.select("_dp_row", F.col("text").cast("string").alias("text")), run, f"_dp_more {HITS}").where(F.size("_dp_more") > 0).select("_dp_row", "_dp_more"))
+        block.unpersist()
+        found = more if found is None else found.unionByName(more)
+    hits = found.groupBy("_dp_row").agg(F.flatten(F.collect_list("_dp_more")).alias("_dp_found"))
+    out = rows.join(hits, "_dp_row", "left").withColumn("_dp_found", F.coalesce("_dp_found", F.array().cast(HITS)))
+    return out.select(*docs.columns, "_dp_found")
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:

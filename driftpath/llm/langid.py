@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, per_text, prepare, thinned
+from .common import held_out, per_text, prepare, staged, thinned
 
 SIZES = (2, 3, 4)
 #: One odd multiplier for each hash function.
@@ -117,7 +117,7 @@ def train(docs: DataFrame, sample_docs: int = 1500, share: float = 0.25, least:
                 u, n = np.unique(np.concatenate(hs), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), k, np.int32)), pa.array(u.view(np.int64)), pa.array(n)], ["k", "h", "n"])
 
-    counts = some.select("text", "lang").mapInArrow(count, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
+    counts = staged(some.select("text", "lang").mapInArrow(count, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n")))
     total = {r.k: r.t for r in counts.groupBy("k").agg(F.sum("n").alias("t")).collect()}
     if not total:
         return Filters([], [])

@@ -50,7 +50,7 @@ def _ranked(classes: DataFrame, *by: str) -> DataFrame:
 
 def suffix_ranks(docs: DataFrame, min_words: int = 50) -> tuple[DataFrame, DataFrame]:
     """(active, ranks): lines that occur twice with their runs; and (_dp_d, _dp_t, pos, k, r) for each level k."""
-    lines = _lines(docs)
+    lines = staged(_lines(docs))
     doubled = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     ids = _ranked(doubled, "a", "b")
     w = Window.partitionBy(*_KEY).orderBy("pos")
@@ -83,6 +83,23 @@ def suffix_ranks(docs: DataFrame, min_words: int = 50) -> tuple[DataFrame, DataF
     return active, ranks
 
 
+def _not_first(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Those rows (distinct by group and order) that are not the first of their group, with no group met in one task.
+
+    Rows are dealt by range over group and order, so a large group spans tasks; sorted rows are numbered, and a row is
+    compared with that of the number before. The heads of partitions are compared with the tails, one row of each.
+    """
+    names = [*group, *order]
+    dealt = rows.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("_dp_i", F.monotonically_increasing_id())
+    dealt = staged(dealt.withColumn("_dp_p", F.shiftright("_dp_i", 33)))
+    key = F.struct(*group)
+    before = dealt.select((F.col("_dp_i") + 1).alias("_dp_i"), key.alias("_dp_before"))
+    inner = dealt.join(before, "_dp_i").where(F.col("_dp_before") == key)
+    ends = dealt.groupBy("_dp_p").agg(F.min("_dp_i").alias("_dp_i"), F.min_by(key, "_dp_i").alias("head"), F.max_by(key, "_dp_i").alias("tail"))
+    joined = ends.withColumn("last", F.lag("tail").over(Window.orderBy("_dp_p"))).where(F.col("head") == F.col("last")).select("_dp_i")
+    return inner.select(*rows.columns).unionByName(dealt.join(F.broadcast(joined), "_dp_i").select(*rows.columns))
+
+
 def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """_dp_d, _dp_t, s, e: disjoint ranges of lines that are later copies, in no order."""
     active, ranks = suffix_ranks(docs, min_words)
@@ -94,8 +111,7 @@ def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
     windows = windows.withColumn("s2", F.col("e") + 1 - F.expr("shiftleft(1, k)"))
     ends = ranks.select(*_KEY, F.col("pos").alias("s2"), "k", F.col("r").alias("r2"))
     named = staged(windows.join(ranks.withColumnRenamed("pos", "s"), [*_KEY, "s", "k"]).join(ends, [*_KEY, "s2", "k"]).select(*_KEY, "s", "e", "n", "r", "r2"))
-    first = named.groupBy("n", "r", "r2").agg(F.min(F.struct(*_KEY, "s")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    gone = named.join(first, ["n", "r", "r2"]).where(F.struct(*_KEY, "s") != F.col("first")).select(*_KEY, "s", "e")
+    gone = _not_first(named, ["n", "r", "r2"], [*_KEY, "s"]).select(*_KEY, "s", "e")
     by = Window.partitionBy(*_KEY).orderBy("s", "e")
     reach = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
     isle = gone.withColumn("new", F.when(F.col("s") <= reach + 1, 0).otherwise(1)).withColumn("isle", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))

@@ -7,7 +7,8 @@ two; with one of the digits or signs that stand for letters between them, a word
 
 The lexicon is a fixed list and what the labels add: words, and stems of 3 to 6 letters with any ending (written with
 a star), that stand in toxic documents almost alone, by a likelihood ratio that chance does not reach. Exact copies of
-a text count once; at most `most_terms` are added. A stem is a node of the trie that keeps its state on any letter.
+a text count once; every term that passes the test is added, in as many automata as that takes. A stem is a node of the
+trie that keeps its state on any letter. Words are matched whatever their length.
 
 Hits are weighed by their windows: quotation marks around them and reporting words tell quotation, a second person
 tells abuse. A logistic model over these features takes its weights from the labels, drawn towards prior weights, so
@@ -153,13 +154,32 @@ class Automaton:
         return {words[i]: (int(best[i]), int(self.cost[state[i]])) for i in np.flatnonzero((best >= 0) & ((size <= self.longest) | self.star[best]))}
 
 
-def hits(texts: list, auto: Automaton) -> Iterator[list[tuple[str, int, int, bool, bool, bool]]]:
+class Lexicon:
+    """All terms, in automata of up to `part` each; terms of one beginning share theirs. A word's match is its nearest term."""
+
+    def __init__(self, terms: list[str], part: int = 256) -> None:
+        terms = sorted(set(terms))
+        self.automata = [Automaton(terms[k : k + part]) for k in range(0, len(terms), part)]
+        self.terms = [t for a in self.automata for t in a.terms]
+
+    def match(self, words: list[str]) -> dict[str, tuple[int, int]]:
+        """Of those words that come within their edits of a term: the term's index and the edits."""
+        out: dict[str, tuple[int, int]] = {}
+        first = 0
+        for a in self.automata:
+            for w, (k, e) in a.match(words).items():
+                if w not in out or e < out[w][1]:
+                    out[w] = (first + k, e)
+            first += len(a.terms)
+        return out
+
+
+def hits(texts: list, auto: Lexicon) -> Iterator[list[tuple[str, int, int, bool, bool, bool]]]:
     """By text: (form, term, edits, quoted, second person near, reporting word near) of each hit in order."""
     words = [(x or "").lower().split() for x in texts]
     forms: dict[str, str] = {}
     for w in set().union(*words):
-        if len(w) < 64:
-            forms[w] = w.strip(_EDGES)
+        forms[w] = w.strip(_EDGES)
     found = auto.match(list(set(forms.values())))
     odd = {f for f in forms.values() if f not in found and not f.isalpha() and any(c.isalpha() for c in f)}
     plain = {f: f.translate(SIGNS) for f in odd}
@@ -207,7 +227,7 @@ def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, precision:
 
 
 class Model:
-    def __init__(self, auto: Automaton, weights: np.ndarray, benign: frozenset) -> None:
+    def __init__(self, auto: Lexicon, weights: np.ndarray, benign: frozenset) -> None:
         self.auto, self.weights, self.benign = auto, weights, benign
 
     def score(self, texts: list) -> np.ndarray:
@@ -218,11 +238,11 @@ class Model:
 def forms(text: str | None) -> set[str]:
     """The text's words, and their first 3 to 6 letters with a star."""
     words = {w.strip(_EDGES) for w in set((text or "").lower().split())}
-    words = {w for w in words if 3 < len(w) < 40 and w.isalpha()}
+    words = {w for w in words if len(w) > 3 and w.isalpha()}
     return words | {w[:n] + "*" for w in words for n in (3, 4, 5, 6) if len(w) > n}
 
 
-def learned(rows: DataFrame, share: float, most_terms: int, least_ratio: float = 27.0) -> list[str]:
+def learned(rows: DataFrame, share: float, least_ratio: float = 27.0) -> list[str]:
     """Words and stems (with a star) that tell toxic documents; rows: text, _dp_y, a sample without exact copies."""
     prepare(rows.sparkSession)
 
@@ -252,16 +272,16 @@ def learned(rows: DataFrame, share: float, most_terms: int, least_ratio: float =
     stems = [f for f in good if f[-1] == "*" and endings[f] >= 3]
     stems = [f for f in stems if not any(f[:n] + "*" in good and endings[f[:n] + "*"] >= 3 for n in range(3, len(f) - 1))]
     rest = [f for f in good if f[-1] != "*" and f not in _LISTED and not any(f[:n] + "*" in stems for n in (3, 4, 5, 6))]
-    return sorted(stems + rest, key=lambda f: (f[-1] != "*", -good[f], f))[:most_terms]
+    return sorted(stems + rest)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_docs: int = 20_000, terms: tuple[str, ...] = tuple(LEXICON), most_terms: int = 200) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_docs: int = 20_000, terms: tuple[str, ...] = tuple(LEXICON)) -> Model:
     known = staged(labelled(docs, labels, label, sample_docs))
     total = known.agg(F.count(F.lit(1)), F.sum("_dp_y")).first()
     if not total[0]:
-        return Model(Automaton(list(terms)), PRIOR, frozenset())
+        return Model(Lexicon(list(terms)), PRIOR, frozenset())
     share = (total[1] + 1) / (total[0] + 2)
-    auto = Automaton([*terms, *learned(staged(known.dropDuplicates(["text"]).select("text", "_dp_y")), share, most_terms)])
+    auto = Lexicon([*terms, *learned(staged(known.dropDuplicates(["text"]).select("text", "_dp_y")), share)])
     shared = docs.sparkSession.sparkContext.broadcast(auto)
 
     def found(texts: list) -> list:

@@ -97,6 +97,54 @@ def test_quotation_and_misspelling():
     assert plain > 0.5 and slip > 0.3 and leet > 0.3 and quoted < 0.3 and clean < 0.3 and plain > quoted
 
 
+def test_words_of_any_length():
+    """Long words are matched: behind punctuation, by a stem, and as long terms; automata share one numbering."""
+    long = "z" * 30 + "q" * 70
+    lex = toxicity.Lexicon([*toxicity.LEXICON, "grump*", long], part=8)
+    assert len(lex.automata) > 5 and sorted(lex.terms) == lex.terms
+    words = ["idiot", "idiott", "grump" + "y" * 200, long, long[:-1], "x" * 500, "clean"]
+    found = {w: (lex.terms[k], e) for w, (k, e) in lex.match(words).items()}
+    assert found == {"idiot": ("idiot", 0), "idiott": ("idiot", 1), words[2]: ("grump*", 0), long: (long, 0), long[:-1]: (long, 1)}
+    whole = toxicity.Automaton(lex.terms)
+    assert {w: e for w, (_, e) in whole.match(words).items()} == {w: e for w, (_, e) in lex.match(words).items()}
+    m = toxicity.Model(lex, toxicity.PRIOR, frozenset())
+    a, b, c = m.score(["you idiot" + "!" * 90, "you idiot", "you" + "!" * 90])
+    assert a == b > 0.5 > c
+
+
+def test_labels_with_gaps(spark):
+    """Null and repeated rows of labels, labels of unknown documents and other values; the scores stay defined."""
+    docs = spark.createDataFrame([(i, f"you idiot number {i}" if i % 2 else f"a calm text of number {i}") for i in range(60)], "doc_id long, text string")
+    rows = [(i, i % 2, i % 2) for i in range(60)] + [(3, 1, 1), (3, 1, 1), (None, 1, 0), (5, None, None), (900, 1, 1), (7, 2, 5)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    for f in (toxicity.classify, quality.classify):
+        out = f(docs, labels).collect()
+        assert sorted(r.doc_id for r in out) == list(range(60)) and all(0 <= r.score <= 1 for r in out)
+        assert f(docs, labels.limit(0)).count() == 60
+
+
+def test_ridge_is_the_direct_solution(spark):
+    """Summed normal equations give the weights of a ridge over all rows; the features' products near the kernel."""
+    docs = spark.createDataFrame([(i, " ".join(["word" * (i % 7 + 1)] * (i % 13 + 1)) + "." * (i % 5)) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 > 3), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    m = quality.train(docs, labels, ridges=(0.1,))
+    from driftpath.llm.common import held_out
+
+    own = docs.where(~held_out("doc_id")).join(labels, "doc_id").collect()
+    stats = np.array([quality.statistics(r.text) for r in own])
+    z, y = m.features(stats), np.array([r.quality for r in own], float)
+    dual = z.T @ np.linalg.solve(z @ z.T + 0.1 * np.eye(len(z)), y)
+    assert np.allclose(z @ m.weights, z @ dual, atol=1e-6)
+    x = np.clip((stats - m.mean) / m.scale, -6, 6)[:80]
+    exact = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) / (2 * x.shape[1]))
+    rng = np.random.default_rng(0)
+    wide = quality.Model(m.mean, m.scale, rng.normal(size=(x.shape[1], 20_000)) / np.sqrt(x.shape[1]), rng.uniform(0, 2 * np.pi, 20_000), None, None, None)
+    f = wide.features(stats[:80])[:, :-1]
+    assert np.abs(f @ f.T - exact).max() < 0.05
+    f = z[:80, :-1]
+    assert np.abs(f @ f.T - exact).mean() < 0.1
+
+
 def test_bit_sliced_filters():
     rng = np.random.default_rng(2)
     keys = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (5000, 300, 40)]

@@ -103,3 +103,16 @@ def test_lines_on_dense_repeats(spark):
     got = sorted(map(tuple, linededup.report(df).select("doc_id", "text", "n_removed", "removed").collect()))
     assert got == oracle(df)
     assert got[80][1].count("\n") == 0 or got[80][2] >= 190
+
+
+def test_first_of_each_group_across_partitions(spark):
+    """A group larger than a partition: all its rows but one."""
+    rows = [(1 if i % 3 else i, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g long, o long")
+    from driftpath.llm.common import staged
+
+    out = sorted((r.g, r.o) for r in linededup._not_first(staged(df.repartition(7)), ["g"], ["o"]).collect())
+    first: dict = {}
+    for g, o in rows:
+        first[g] = min(o, first.get(g, o))
+    assert out == sorted((g, o) for g, o in rows if o != first[g])

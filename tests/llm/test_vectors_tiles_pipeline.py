@@ -147,11 +147,33 @@ def test_planted_passages(spark, odd, nothing):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     for kw in ({}, {"block_words": 5}):
         got = {r.doc_id: r.item_ids for r in decontam.judged(df, bench, **kw).where("contaminated").collect()}
-        assert got == {0: [0], 1: [0], 3: [1], 8: [0]}
+        assert got == {0: [0], 1: [0], 3: [1], 5: [4], 8: [0]}  # an item shorter than a seed matches whole
     assert decontam.judged(odd, bench).count() == odd.count() and decontam.judged(nothing, bench).count() == 0
     assert decontam.judged(df, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_dense_tiles_are_the_same():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        a, b = rng.integers(1, 3, rng.integers(3, 20)), rng.integers(1, 3, rng.integers(3, 40))
+        assert decontam._dense_tiles(a, b, 3) == decontam.tiles(a, b, 3)
+    most = decontam.tiles(np.full(400, 1), np.full(20_000, 1), 3)
+    assert sum(x[2] for x in most) == 400
+
+
+def test_short_items_and_many_blocks(spark):
+    """Items of 1 to 4 words match whole and in order alone; null and repeated ids; clashing columns; one item a block."""
+    from pyspark.sql import functions as F
+
+    items = [(1, "alpha beta gamma delta"), (1, "lonely"), (None, "two words"), (4, "one two three four five six"), (5, "one two three four five six")]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumns({k: F.lit("clash") for k in ("doc_id", "_dp_found", "words", "coverage")})
+    texts = {0: "so Alpha beta, gamma delta it is", 1: "alpha beta gamma", 2: "delta gamma beta alpha", 3: "a LONELY one", 4: "words two", 5: "of two words", 6: "one two three four five six"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for kw in ({}, {"block_words": 1}):
+        got = {r.doc_id: r.item_ids for r in decontam.judged(df, bench, **kw).where("contaminated").collect()}
+        assert got == {0: [1], 3: [1], 5: [None], 6: [4, 5]}
+
+
 def test_judged_against_slow_tiles(spark):
     """Any benchmark item, any document that shares five words in a row with it."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
