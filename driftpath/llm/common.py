@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import importable, release, shared_dir, staged, staged_path
+from ..storage import discard, importable, release, shared_dir, staged, staged_path
 
 __all__ = ["components", "fold", "held_out", "labelled", "per_text", "prepare", "release", "shared_dir", "staged", "staged_path", "table", "thinned"]
 
@@ -57,7 +57,7 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         edges.where("src is not null and dst is not null and src <> dst")
         .select("src", "dst").union(edges.where("src is not null and dst is not null and src <> dst").select("dst", "src")).distinct()
     )
-    labels = staged(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")))
+    held = labels = staged(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")))
     for _ in range(max_rounds):
         least = (
             both.join(labels.select(F.col("node").alias("dst"), "component"), "dst")
@@ -66,8 +66,10 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         hop = labels.join(least, "node").select("node", F.least("component", "near").alias("next"), F.col("component").alias("was"))
         jump = labels.select(F.col("node").alias("next"), F.col("component").alias("far"))
         new = staged(hop.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("component"), "was"))
-        labels = new.select("node", "component")
+        discard(held)
+        held, labels = new, new.select("node", "component")
         if not new.where("component <> was").limit(1).count():
+            discard(both)
             return labels
     raise RuntimeError("components did not settle")
 
