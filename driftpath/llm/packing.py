@@ -5,7 +5,8 @@ may be shorter. Pieces of full length are sequences by themselves; the rest is r
 shards of about `shard_items`, so that each shard has the same mix of lengths. On each shard several islands evolve
 packings from best-fit-decreasing and shuffled best-fit starts: crossover injects whole well-filled bins of one parent into
 another, drops the bins that hold an injected item too, and best-fits the displaced items; between epochs the best packing
-of an island moves to the next. An island whose best packing has as few bins as the sum of lengths allows rests.
+of an island moves to the next. A shard whose packing has as few bins as the sum of lengths allows rests; so does one with
+a single bin more, if there are other shards to pack that with.
 
 What lies in bins with more than `spare` ids of room is then packed again, over all shards, round by round, until it fits
 one shard or a round saves nothing.
@@ -193,18 +194,21 @@ def _round(items: DataFrame, shards: int, level: int, capacity: int, islands: in
 
     state = "shard int, island int, lengths binary, genomes array<binary>, bins int, least int"
 
+    rest = 1 if shards > 1 else 0  # a bin over the bound is open, and the next round packs it again
+
     def begin(key, pdf):
         import pandas as pd
 
         lengths = pdf.sort_values("_k")["length"].to_numpy().astype("<i4")
-        return pd.DataFrame([grown(int(key[0]), int(key[1]), lengths, [], 0)])
+        first = grown(int(key[0]), 0, lengths, [], 0, 0)
+        return pd.DataFrame([{**first, "island": i} for i in range(islands if first["bins"] > first["least"] else 1)])
 
-    def grown(shard, island, lengths, genomes, epoch):
+    def grown(shard, island, lengths, genomes, epoch, generations):
         seed = (shard * 1009 + island) * 31 + epoch
-        found = evolve(lengths.tolist(), capacity, seed, generations, population, [_unpacked(bytes(g)) for g in genomes])
+        found = evolve(lengths.tolist(), capacity, seed, generations, population if generations else 1, [_unpacked(bytes(g)) for g in genomes])
         return {
             "shard": shard, "island": island, "lengths": lengths.tobytes(), "genomes": [_packed(b, len(lengths)) for b in found],
-            "bins": len(found[0]), "least": int(-(-int(lengths.sum()) // capacity)),
+            "bins": len(found[0]), "least": int(-(-int(lengths.sum()) // capacity)) + rest,
         }
 
     def further(epoch):
@@ -216,19 +220,18 @@ def _round(items: DataFrame, shards: int, level: int, capacity: int, islands: in
             if min(pdf["bins"]) <= own["least"]:
                 best = pdf.sort_values("bins", kind="stable").iloc[0]
                 return pd.DataFrame([{"shard": int(key[0]), "island": int(key[1]), "lengths": own["lengths"], "genomes": [best["genomes"][0]], "bins": int(best["bins"]), "least": int(own["least"])}])
-            return pd.DataFrame([grown(int(key[0]), int(key[1]), np.frombuffer(own["lengths"], "<i4"), genomes, epoch)])
+            return pd.DataFrame([grown(int(key[0]), int(key[1]), np.frombuffer(own["lengths"], "<i4"), genomes, epoch, generations)])
 
         return run
 
-    on = staged(
-        small.select(F.col("_shard").alias("shard"), F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), "_k", "length")
-        .groupBy("shard", "island").applyInPandas(begin, state)
-    )
-    for epoch in range(1, epochs):
-        if not on.where("bins > least").limit(1).count():
+    on = staged(small.select(F.col("_shard").alias("shard"), "_k", "length").groupBy("shard").applyInPandas(begin, state))
+    for epoch in range(epochs):
+        open_ = on.where("bins > least")
+        if not open_.limit(1).count():
             break
-        elite = on.select("shard", ((F.col("island") + 1) % islands).cast("int").alias("island"), "lengths", F.slice("genomes", 1, 1).alias("genomes"), "bins", "least", F.lit(False).alias("home"))
-        on = staged(on.withColumn("home", F.lit(True)).unionByName(elite).groupBy("shard", "island").applyInPandas(further(epoch), state))
+        elite = open_.select("shard", ((F.col("island") + 1) % islands).cast("int").alias("island"), "lengths", F.slice("genomes", 1, 1).alias("genomes"), "bins", "least", F.lit(False).alias("home"))
+        grown_on = open_.withColumn("home", F.lit(True)).unionByName(elite).groupBy("shard", "island").applyInPandas(further(epoch), state)
+        on = staged(on.where("bins <= least").unionByName(grown_on))
 
     def placed(batches: Iterator) -> Iterator:
         import pandas as pd
