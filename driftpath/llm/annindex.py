@@ -60,7 +60,7 @@ def robust_prune(near: np.ndarray, sims: np.ndarray, s: np.ndarray, degree: int,
 class Graph:
     """A flat graph over the rows of x (unit vectors): shards around own centroids, pruned, united."""
 
-    def __init__(self, x: np.ndarray, shard: int = 256, overlap: int = 2, candidates: int = 32, degree: int = 16, seed: int = 3) -> None:
+    def __init__(self, x: np.ndarray, shard: int = 256, overlap: int = 2, candidates: int = 32, degree: int = 12, far: int = 6, seed: int = 3) -> None:
         self.x = x
         n = len(x)
         rng = np.random.default_rng(seed)
@@ -84,10 +84,15 @@ class Graph:
                 near = np.argpartition(-s, m - 1, axis=1)[:, :m]
                 near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
                 np.fill_diagonal(s, 1)
-                kept = robust_prune(near, np.take_along_axis(s, near, 1), s, min(degree, m))
-                i, j = np.nonzero(kept >= 0)
-                a, b = part[i], part[kept[i, j]]
-                links += [np.stack([a, b], 1), np.stack([b, a], 1)]  # both ways, so that each node can be reached
+                # Members drawn at random are pruned apart: a dense group would fill its lists with itself and be an island.
+                wide = rng.integers(0, len(part), (len(part), 4 * far))
+                wide = np.take_along_axis(wide, np.argsort(-np.take_along_axis(s, wide, 1), axis=1, kind="stable"), 1)
+                wide[wide == np.arange(len(part))[:, None]] = -1
+                for some, most in ((near, degree), (wide, far)):
+                    kept = robust_prune(some, np.take_along_axis(s, some, 1), s, min(most, m))
+                    i, j = np.nonzero(kept >= 0)
+                    a, b = part[i], part[kept[i, j]]
+                    links += [np.stack([a, b], 1), np.stack([b, a], 1)]  # both ways, so that each node can be reached
         pairs = np.unique(np.concatenate(links), axis=0) if links else np.empty((0, 2), np.int64)
         self.medoids = sorted(set(self.medoids))
         start = np.searchsorted(pairs[:, 0], np.arange(n + 1))
@@ -306,7 +311,7 @@ def _meets(path: list, owns: np.ndarray, cells: list) -> callable:
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.98, cell: int = 1024, cell_cap: int = 2048, recall: float = 0.995, fan: int = 1024, most: float = 0.5, levels: int = 6
+    vectors: DataFrame, threshold: float = 0.98, cell: int = 4096, cell_cap: int = 8192, recall: float = 0.995, fan: int = 1024, most: float = 0.5, levels: int = 6
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each vector.
 
