@@ -11,6 +11,8 @@ from ..storage import staged
 
 EDGES = "u long, i long, ts long, batch int, idx long, features array<float>"
 OUT, IN = "out", "in"
+#: Retained edges are written anew every so many batches, which ends the chain of unions.
+COMPACT = 8
 
 
 def global_rank(df: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -26,6 +28,20 @@ def global_rank(df: DataFrame, by: list[str], name: str) -> DataFrame:
     return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
+def running(df: DataFrame, by: list, sums: dict[str, str]) -> DataFrame:
+    """df with running sums in the order `by` (the row itself included): new column by summed column. No task has all rows.
+
+    Rows are dealt by range and summed there; what lies before each range is a sum over one row a partition.
+    """
+    dealt = staged(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    totals = dealt.groupBy("_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    order = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_part", *[F.coalesce(F.sum(f"_{n}").over(order), F.lit(0)).alias(f"_{n}") for n in sums])
+    upto = Window.partitionBy("_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    own = dealt.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()}).join(F.broadcast(before), "_part")
+    return own.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_part", *[f"_{n}" for n in sums])
+
+
 @dataclass(frozen=True)
 class TemporalGraph:
     """Immutable: adding a batch gives a new graph.
@@ -78,6 +94,8 @@ class TemporalGraph:
         merged = rows if self.edges is None else self.edges.unionByName(rows)
         if self.capacity > 0:
             merged = merged.where(F.col("ts") > latest - self.capacity)
+        if self.batches % COMPACT == COMPACT - 1:
+            merged = staged(merged)  # what the window has dropped is not read again
         return replace(self, edges=merged, latest=latest, batches=self.batches + 1, feature_dim=dim, last_batch=rows.select("u", "i"), _held={})
 
     def clear(self) -> TemporalGraph:
@@ -158,25 +176,37 @@ class TemporalGraph:
         own = self.ts_groups().select("gg", F.col("first_edge_id").alias("start"), (F.col("first_edge_id") + F.col("n_edges")).alias("stop"))
         return asked.join(own, "gg", "left").select("gg", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("stop", F.lit(0)).alias("stop"))
 
-    def _counted(self, table: DataFrame, asked: DataFrame, on: list[str], than: Column, name: str) -> DataFrame:
-        # A count for each question, not for each pair: questions and groups meet on the node, or all by a broadcast of questions.
-        met = asked.join(table.withColumnRenamed("ts", "_ts"), on, "left") if on else table.withColumnRenamed("ts", "_ts").join(F.broadcast(asked), F.lit(True), "right")
-        return met.groupBy(*asked.columns).agg(F.count_if(than).alias(name))
+    def _counted(self, table: DataFrame, asked: DataFrame, on: list[str], less: bool) -> DataFrame:
+        """asked(on, t), distinct, with n: rows of table (on, ts) below t, or above it; 0 for a null t.
+
+        Questions and rows are put in one order and counted by a running sum, so work grows with rows, not with pairs.
+        """
+        asked = asked.distinct()
+        rows = table.select(*on, F.col("ts").alias("t"), F.lit(1).alias("own"))
+        both = rows.unionByName(asked.where("t is not null").select(*on, "t", F.lit(0).alias("own")))
+        order = [F.col("t") if less else F.desc("t"), F.col("own")]  # a question stands before rows of its own time
+        if on:
+            upto = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+            counted = both.withColumn("n", F.sum("own").over(upto))
+        else:
+            counted = running(both, order, {"n": "own"})
+        nothing = asked.where("t is null").withColumn("n", F.lit(0).cast("long"))
+        return counted.where("own = 0").select(*asked.columns, "n").unionByName(nothing)
 
     def count_ts_less(self, asked: DataFrame) -> DataFrame:
-        """asked(t), a few: with n, the distinct timestamps below t."""
-        return self._counted(self.ts_groups().select("ts"), asked, [], F.col("_ts") < F.col("t"), "n")
+        """asked(t), distinct, with n, the distinct timestamps below t."""
+        return self._counted(self.ts_groups().select("ts"), asked.select("t"), [], True)
 
     def count_ts_greater(self, asked: DataFrame) -> DataFrame:
-        return self._counted(self.ts_groups().select("ts"), asked, [], F.col("_ts") > F.col("t"), "n")
+        return self._counted(self.ts_groups().select("ts"), asked.select("t"), [], False)
 
     def count_node_ts_less(self, asked: DataFrame) -> DataFrame:
         """asked(node, t): groups below t, inbound ones of directed graphs; 0 for unknown nodes."""
         side = IN if self.directed else OUT
-        return self._counted(self.groups(side).select("node", "ts"), asked, ["node"], F.col("_ts") < F.col("t"), "n")
+        return self._counted(self.groups(side).select("node", "ts"), asked.select("node", "t"), ["node"], True)
 
     def count_node_ts_greater(self, asked: DataFrame) -> DataFrame:
-        return self._counted(self.groups(OUT).select("node", "ts"), asked, ["node"], F.col("_ts") > F.col("t"), "n")
+        return self._counted(self.groups(OUT).select("node", "ts"), asked.select("node", "t"), ["node"], False)
 
     def asof(self, asked: DataFrame, forward: bool) -> DataFrame:
         """asked(t): gg of the first group after t, or of the last before it (-1 if none; the number of groups if past all)."""

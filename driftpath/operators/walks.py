@@ -13,7 +13,7 @@ from ..functions.scalars import beta, bounded, either
 from ..storage import staged
 from . import index as ix
 from . import vector_walks as vw
-from .graph import TemporalGraph
+from .graph import TemporalGraph, running
 from .weights import global_weights
 
 FIRST_TS, LAST_TS = -(1 << 63), (1 << 63) - 1
@@ -166,27 +166,45 @@ def last_batch_seeds(graph: TemporalGraph) -> DataFrame:
 def start_edges(graph: TemporalGraph, asked: DataFrame, picker: str, forward: bool, o: WalkOptions) -> DataFrame:
     """asked(walk_id[, t]): an edge of the whole graph by the picker over all groups (after t, or before it), uniform in it."""
     u = MODES[o.rng]
-    # A row for each distinct timestamp: the table of groups is ordered as arrays in one row for the pick.
-    groups = global_weights(graph.ts_groups(), o.bound)
-    cum = F.col("cum_fwd") if forward else F.col("cum_bwd")
-    packed = groups.agg(F.array_sort(F.collect_list(F.struct("gg", "ts", "n_edges", "first_edge_id", cum.alias("c")))).alias("x"))
-    met = asked.join(F.broadcast(packed), F.lit(True))
-    t = F.col("t") if "t" in asked.columns else F.lit(None).cast("long")
-    stamps = F.transform("x", lambda y: y.ts)
-    after = F.size(F.filter(stamps, lambda s: s <= t))
-    before = F.size(F.filter(stamps, lambda s: s < t))
-    lo = F.when(t.isNull() | F.lit(not forward), F.lit(0)).otherwise(after)
-    hi = F.when(t.isNull() | F.lit(forward), F.size("x")).otherwise(before)
+    groups, total = graph.ts_groups(), graph.ts_groups().count()
     r1, r2 = u(F.col("walk_id"), 0, GROUP, o.seed), u(F.col("walk_id"), 0, EDGE, o.seed)
     kind = P.EXPONENTIAL_WEIGHT if picker == P.NODE2VEC else picker
-    met = met.withColumn("lo", lo).withColumn("hi", hi)
-    met = met.withColumn("g", P.pick(kind, F.col("lo"), F.col("hi"), r1, not forward, F.transform("x", lambda y: y.c)))
-    y = F.get("x", F.col("g"))
-    k = F.lit(0).cast("long") if kind in (P.FIRST, P.LAST) else bounded(y["n_edges"], r2)
-    met = met.withColumn("edge_id", y["first_edge_id"] + k).drop("x", "lo", "hi", "g")
+    met = asked.withColumn("lo", F.lit(0).cast("long")).withColumn("hi", F.lit(total).cast("long"))
+    if "t" in asked.columns:
+        times = asked.select("t").distinct()
+        counts = graph.count_ts_greater(times) if forward else graph.count_ts_less(times)
+        met = met.join(counts, met["t"].eqNullSafe(counts["t"]), "left").drop(counts["t"])
+        known = F.col("t").isNotNull()
+        met = met.withColumn("lo", F.when(known, F.lit(total) - F.col("n")).otherwise(F.col("lo"))) if forward else met.withColumn("hi", F.when(known, F.col("n")).otherwise(F.col("hi")))
+        met = met.drop("n")
+    if kind == P.EXPONENTIAL_WEIGHT:
+        met = _weighted_groups(met, global_weights(groups, o.bound).select(F.col("gg").cast("long").alias("gg"), F.col("cum_fwd" if forward else "cum_bwd").alias("cum")), r1)
+    else:
+        met = met.withColumn("g", P.pick(kind, F.col("lo"), F.col("hi"), r1, not forward).cast("long"))
+    own = groups.select(F.col("gg").cast("long").alias("g"), "n_edges", "first_edge_id")
+    met = met.join(own, "g", "left")
+    k = F.lit(0).cast("long") if kind in (P.FIRST, P.LAST) else bounded(F.col("n_edges"), r2)
+    met = met.withColumn("edge_id", F.col("first_edge_id") + k).drop("lo", "hi", "g", "n_edges", "first_edge_id")
     return met.join(graph.positioned().select("edge_id", "u", "i", "ts"), "edge_id", "left")
 
 
+def _weighted_groups(met: DataFrame, cum: DataFrame, r: Column) -> DataFrame:
+    """met(walk_id, lo, hi) with g, the first group of [lo, hi) whose cumulative weight reaches the target drawn by r.
+
+    The search is a running count over weights and targets in one order.
+    """
+    at = lambda name, key: cum.select((F.col("gg") + 1).alias(key), F.col("cum").alias(name))
+    met = met.join(at("c_lo", "lo"), "lo", "left").join(at("c_hi", "hi"), "hi", "left")
+    start = F.coalesce("c_lo", F.lit(0.0))
+    drawn = staged(met.withColumn("target", F.when(F.col("hi") > F.col("lo"), start + r * (F.col("c_hi") - start))).drop("c_lo", "c_hi"))
+    both = cum.select(F.col("cum").alias("x"), F.lit(1).alias("own"), F.lit(None).cast("long").alias("walk_id"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi")).unionByName(
+        drawn.where("target is not null").select(F.col("target").alias("x"), F.lit(0).alias("own"), "walk_id", "lo", "hi")
+    )
+    found = running(both, ["x", "own", "walk_id"], {"below": "own"}).where("own = 0")
+    found = found.select("walk_id", F.least(F.greatest("below", "lo"), F.col("hi") - 1).cast("long").alias("g"))
+    return drawn.drop("target").join(found, "walk_id", "left")
+
+
 def free_walks(graph: TemporalGraph, total: int, o: WalkOptions) -> DataFrame:
     """total walks from edges drawn from the whole graph."""
     index = ix.build(graph, o.forward, o.bound)

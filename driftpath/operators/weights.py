@@ -25,14 +25,15 @@ def node_weights(groups: DataFrame, bound: float = -1) -> DataFrame:
 
 
 def global_weights(ts_groups: DataFrame, bound: float = -1) -> DataFrame:
-    """ts_groups with the same columns over all groups. One row for each distinct timestamp is ordered in one task."""
+    """ts_groups with the same columns over all groups."""
+    from .graph import running
+
     ends = ts_groups.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
     forward, backward = _raw(F.col("low"), F.col("high"), bound)
     raw = ts_groups.join(F.broadcast(ends), F.lit(True)).withColumn("rf", forward).withColumn("rb", backward)
     sums = raw.agg(F.sum("rf").alias("sf"), F.sum("rb").alias("sb"))
     out = raw.join(F.broadcast(sums), F.lit(True)).withColumn("w_fwd", F.col("rf") / F.col("sf")).withColumn("w_bwd", F.col("rb") / F.col("sb"))
-    upto = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("cum_fwd", F.sum("w_fwd").over(upto)).withColumn("cum_bwd", F.sum("w_bwd").over(upto)).drop("low", "high", "rf", "rb", "sf", "sb")
+    return running(out, ["ts"], {"cum_fwd": "w_fwd", "cum_bwd": "w_bwd"}).drop("low", "high", "rf", "rb", "sf", "sb")
 
 
 def group_weight(cum: Column, over: Window) -> Column:

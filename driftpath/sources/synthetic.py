@@ -17,7 +17,7 @@ class Stratum:
 
 # The strata's sizes (nodes, edges a node, timestamps a node) and the mixing matrix.
 STRATA = (Stratum(600, 25_000, 1_500), Stratum(4_000, 2_500, 300), Stratum(20_000, 100, 10))
-MIXING = ((0.6, 0.3, 0.1), (0.5, 0.3, 0.2), (0.4, 0.4, 0.2))
+MIXING = ((0.85, 0.15, 0.0), (0.60, 0.40, 0.0), (0.55, 0.45, 0.0))
 SPAN = 1_000_000
 
 

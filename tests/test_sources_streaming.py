@@ -70,6 +70,15 @@ def test_synthetic(spark):
     assert d.edges == 600 + 300 + 200 and d.nodes <= 63 and 0 <= d.ts_min <= d.ts_median <= d.ts_max < synthetic.SPAN
     assert e.where("u < 3").select("u", "ts").distinct().count() <= 60
     assert sorted(map(tuple, e.collect())) == sorted(map(tuple, synthetic.edges(spark, strata).collect()))
+    # Nothing flows back to the tail; hubs mostly point to hubs, and walks circulate.
+    assert e.where("i >= 13").count() == 0 and 0.8 < e.where("u < 3 and i < 3").count() / 600 < 0.9
+    assert 0.5 < e.where("u >= 13 and i < 3").count() / 200 < 0.6 and 0.53 < e.where("u >= 3 and u < 13 and i < 3").count() / 300 < 0.67
+    from driftpath.operators import walks as wx
+    from driftpath.operators.graph import TemporalGraph
+
+    g = TemporalGraph(spark, True).add(e)
+    out = wx.statistics(wx.walks(g, wx.node_seeds(g), wx.WalkOptions(8, P.EXPONENTIAL_INDEX), 4)).first()
+    assert out.avg_len > 6
 
 
 def test_stream_equals_one_batch(spark, tmp_path):
@@ -87,6 +96,47 @@ def test_stream_equals_one_batch(spark, tmp_path):
         assert e.get_random_walks_and_times_for_last_batch(4, P.UNIFORM, 1).count() == len({x.u for x in e.graph.last_batch.collect()})
 
 
+def test_state_outlives_the_engine(spark, tmp_path):
+    """An engine that dies between batches: another takes up its edges and walks as one that saw all batches."""
+    edges = [(k % 7, (k * 3 + 1) % 7, (k * 37) % 50) for k in range(60)]
+
+    def put(k):
+        part = [(20 * k + n, *e) for n, e in enumerate(edges[20 * k : 20 * k + 20])]
+        spark.createDataFrame(part, "idx long, u long, i long, ts long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def go(e, seen):
+        stream = spark.readStream.schema("idx long, u long, i long, ts long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        ingest(stream, e, lambda x, n: seen.append(n), str(tmp_path / "ck")).awaitTermination()
+
+    seen: list[int] = []
+    put(0)
+    put(1)
+    go(WalkEngine(True, max_time_capacity=30, spark=spark), seen)
+    put(2)
+    again = WalkEngine(True, max_time_capacity=30, spark=spark)
+    go(again, seen)
+    whole = WalkEngine(True, max_time_capacity=30, spark=spark)
+    for k in range(3):
+        whole.add_edges(spark.createDataFrame([(20 * k + n, *e) for n, e in enumerate(edges[20 * k : 20 * k + 20])], "idx long, u long, i long, ts long"))
+    rows = lambda e: sorted((r.u, r.i, r.ts, r.batch, r.idx) for r in e.graph.edges.collect())
+    assert rows(again) == rows(whole) and seen == [0, 1, 2] and again.get_latest_timestamp() == whole.get_latest_timestamp()
+    walks = lambda e: sorted((r.walk_id, r.nodes, r.timestamps) for r in e.get_random_walks_and_times_for_last_batch(5, P.UNIFORM, 2).collect())
+    assert walks(again) == walks(whole)
+    idle = WalkEngine(True, max_time_capacity=30, spark=spark)
+    go(idle, seen)
+    assert rows(idle) == rows(whole) and seen == [0, 1, 2]
+
+
+def test_batches_are_compacted(spark, monkeypatch):
+    from driftpath.operators import graph
+
+    monkeypatch.setattr(graph, "COMPACT", 2)
+    g = graph.TemporalGraph(spark, True, 3)
+    for t in range(6):
+        g = g.add(readers.from_tuples(spark, [(t, t + 1, t)]))
+    assert sorted(r.ts for r in g.edges.collect()) == [3, 4, 5] and len(g.edges.inputFiles()) <= 4
+
+
 def test_replay(spark):
     e = WalkEngine(True, spark=spark)
     edges = readers.from_tuples(spark, [(k % 5, k % 3, k) for k in range(30)])

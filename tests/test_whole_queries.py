@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_dense_features_of_all_nodes(spark):
     held = {r.vec_id: round(float(r.embedding[0]), 4) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
-    got = {r.node: r["first"] for r in QUERIES["node_features_dense_all"](spark, SF).collect()}
+    got = {r.node: r["first"] for r in QUERIES["node_features_dense"](spark, SF).collect()}
     assert len(got) > 3 and all(abs(x - held.get(n, 0)) < 1e-4 for n, x in got.items())
     assert any(n % 3 and x for n, x in got.items())
 
@@ -28,6 +28,6 @@ def test_all_nodes_are_asked(spark, tmp_path):
     df = spark.createDataFrame(rows, "event_id long, user_id long, value double")
     df.selectExpr("event_id", "user_id", "value", "timestamp_micros(event_id * 3600000000) AS ts").write.parquet(str(tmp_path / "events.parquet"))
     users = {k * 7 for k in range(450)}
-    for name in ("active_nodes_all", "degrees_for_list_all", "count_node_ts_less_all"):
+    for name in ("active_nodes", "degrees_for_list", "count_node_ts_less"):
         named = {r.node for r in QUERIES[name](spark, str(tmp_path)).select("node").distinct().collect()}
         assert named == users | {-3, -2, -1} | {max(users) + k for k in (1, 2, 3)}, name
