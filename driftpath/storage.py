@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -26,12 +27,13 @@ def importable(spark: SparkSession) -> None:
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH")) if x)
     if not _local(spark):
-        with tempfile.TemporaryDirectory() as folder:  # Spark takes its own copy of the file
-            path = Path(folder) / f"{_PACKAGE.name}.zip"
-            with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-                for p in sorted(_PACKAGE.rglob("*.py")):
-                    z.write(p, p.relative_to(_PACKAGE.parent))
-            sc.addPyFile(str(path))
+        folder = tempfile.mkdtemp(prefix="driftpath-")  # the driver serves the file from here to each executor, also to those that come later
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = Path(folder) / f"{_PACKAGE.name}.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(_PACKAGE.rglob("*.py")):
+                z.write(p, p.relative_to(_PACKAGE.parent))
+        sc.addPyFile(str(path))
     _SHIPPED.add(sc.applicationId)
 
 
