@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, importable, release, shared_dir, staged, staged_path
 
-__all__ = ["components", "fold", "held_out", "labelled", "per_text", "prepare", "release", "shared_dir", "staged", "staged_path", "table", "thinned"]
+__all__ = ["components", "fold", "held_out", "labelled", "per_text", "prepare", "release", "shared_dir", "sieved", "staged", "staged_path", "table", "thinned"]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -45,6 +45,21 @@ def thinned(df: DataFrame, counts: dict, key: str | None, bound: int, id_col: st
     return df.where(h < limit)
 
 
+def sieved(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """df with _dp_met: true for every row whose key (a long) is in ids, and for up to one other row in eight.
+
+    No row of df is shuffled: the ids are set as bits in a table of 16 MB at most, which is broadcast. An exact join of
+    the rows that are met is left to the caller. Beyond 16 million ids more rows are met.
+    """
+    wide = 1 << 15  # bits of one bitmap
+    bits = min(max(1 << (8 * ids.count()).bit_length(), wide), 1 << 27)
+    h = F.pmod(F.xxhash64(F.col(key).cast("long"), F.lit("sieve")), F.lit(bits))
+    table = ids.select(h.alias("h")).groupBy((F.col("h") / wide).cast("long").alias("_dp_at")).agg(F.bitmap_construct_agg(F.col("h") % wide).alias("_dp_bits"))
+    met = df.withColumn("_dp_h", h).withColumn("_dp_at", (F.col("_dp_h") / wide).cast("long")).join(F.broadcast(table), "_dp_at", "left")
+    byte = "cast(conv(hex(substring(_dp_bits, cast(_dp_h % 32768 div 8 as int) + 1, 1)), 16, 10) as int)"
+    return met.withColumn("_dp_met", F.expr(f"coalesce(shiftright({byte}, cast(_dp_h % 8 as int)) & 1, 0) = 1")).select(*df.columns, "_dp_met")
+
+
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, component): the least node reachable, for every node that an edge names.
 

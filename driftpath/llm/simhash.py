@@ -20,14 +20,14 @@ connected to, so links grow with rows, not pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, per_text, prepare, staged
+from .common import components, per_text, prepare, sieved, staged
 
 BITS = 64
 
@@ -48,9 +48,17 @@ def fingerprint_of(text: str | None, size: int, seed: int = 42) -> int:
     ends = ends[size - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     n = len(begins)
+    parts = (
+        np.fromiter((digest(joined[b:e], seed) for b, e in zip(begins[at : at + (1 << 14)], ends[at : at + (1 << 14)], strict=True)), np.uint64)
+        for at in range(0, n, 1 << 14)
+    )
+    return majority(parts, n)
+
+
+def majority(parts: Iterable[np.ndarray], n: int) -> int:
+    """The bits that are set in over half of n hashes, which come in parts."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 14):
-        h = np.fromiter((digest(joined[b:e], seed) for b, e in zip(begins[at : at + (1 << 14)], ends[at : at + (1 << 14)], strict=True)), np.uint64)
+    for h in parts:
         bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         for k in range(0, len(bits), 255):  # sums of up to 255 fit a byte
             ones += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
@@ -250,7 +258,9 @@ def links(prints: DataFrame, distance: int = 4, blocks: int | None = None, depth
         yield from done()
 
     parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return tasks.repartition(parts, "shard", "i", "j").sortWithinPartitions("shard", "i", "j", "query").mapInArrow(compare, "src long, dst long")
+    out = tasks.repartition(parts, "shard", "i", "j").sortWithinPartitions("shard", "i", "j", "query").mapInArrow(compare, "src long, dst long")
+    out._dp_path = dealt._dp_path  # for discard(), once the links are read
+    return out
 
 
 def grouped(prints: DataFrame, distance: int = 4, **kw) -> DataFrame:
@@ -289,8 +299,15 @@ def stay_one(docs: DataFrame, prints: DataFrame, groups: DataFrame, printer) ->
 
     Where an id has rows of several groups, each of those groups keeps its own row; repeated rows of one group leave one.
     """
-    stay = groups.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
-    out = docs.join(stay, "doc_id", "left_semi")
+    stay = staged(groups.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct())
+    gone = staged(prints.where("doc_id is not null").select("doc_id").distinct().join(stay, "doc_id", "left_anti"))
+    # No more texts are shuffled than those that the lesser of the two tables may name.
+    if gone.count() <= stay.count():
+        met = sieved(docs.where("doc_id is not null"), gone, "doc_id")
+        out = met.where("not _dp_met").select(*docs.columns).unionByName(met.where("_dp_met").select(*docs.columns).join(stay, "doc_id", "left_semi"))
+    else:
+        out = sieved(docs, stay, "doc_id").where("_dp_met").select(*docs.columns).join(stay, "doc_id", "left_semi")
+    out = out.select(*docs.columns)
     counts = prints.agg(F.count("doc_id"), F.count(F.lit(1)), F.countDistinct("doc_id")).first()
     if counts[0] != counts[2]:
         # Rows that share an id: the print of each tells its group.
