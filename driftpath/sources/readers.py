@@ -4,39 +4,67 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import staged_path
+
+
+#: Edges that the driver turns into a table at once.
+BLOCK = 1 << 18
+
+
+def _written(spark: SparkSession, blocks: Iterable[pa.Table], schema: str) -> DataFrame:
+    """Arrow tables as one table in the shared folder, added one by one: the driver holds no more than a block beside its input."""
+    path = None
+    for block in blocks:
+        if path is None:
+            path = staged_path(spark)
+        spark.createDataFrame(block, schema).coalesce(1).write.mode("append").parquet(path)  # one file, in the order given
+    return spark.createDataFrame([], schema) if path is None else spark.read.schema(schema).parquet(path)
+
 
 def from_tuples(spark: SparkSession, edges: Iterable[Sequence]) -> DataFrame:
-    """(u, i, ts) triples in order of arrival."""
-    rows = [(k, int(u), int(i), int(ts)) for k, (u, i, ts) in enumerate(edges)]
-    return spark.createDataFrame(rows, "idx long, u long, i long, ts long")
+    """(u, i, ts) triples in order of arrival; of any iterable, read once and never held as a whole."""
+    def blocks() -> Iterator[pa.Table]:
+        rest, at = iter(edges), 0
+        while own := [(int(u), int(i), int(ts)) for u, i, ts in islice(rest, BLOCK)]:
+            yield pa.table([pa.array(range(at, at + len(own)), pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*own, strict=True))], ["idx", "u", "i", "ts"])
+            at += len(own)
+
+    return _written(spark, blocks(), "idx long, u long, i long, ts long")
 
 
 def from_arrays(spark: SparkSession, sources, targets, timestamps, edge_features=None) -> DataFrame:
     """One-dimensional arrays of one length; features one- or two-dimensional, a multiple of it."""
     import numpy as np
-    import pandas as pd
 
     u, i, ts = (np.asarray(x) for x in (sources, targets, timestamps))
     if u.ndim != 1 or i.ndim != 1 or ts.ndim != 1:
         raise ValueError("sources, targets and timestamps must be one-dimensional")
     if not len(u) == len(i) == len(ts):
         raise ValueError("sources, targets and timestamps must have one length")
-    pdf = pd.DataFrame({"idx": np.arange(len(u)), "u": u.astype("i8"), "i": i.astype("i8"), "ts": ts.astype("i8")})
-    schema = "idx long, u long, i long, ts long"
+    schema, x = "idx long, u long, i long, ts long", None
     if edge_features is not None:
         x = np.asarray(edge_features, "f4")
         if x.ndim not in (1, 2) or (x.ndim == 2 and len(x) != len(u)) or (len(u) and x.size % len(u)):
             raise ValueError("edge features must be one- or two-dimensional, with as many rows as edges")
-        pdf["features"] = list(x.reshape(len(u), -1)) if len(u) else []
+        x = x.reshape(len(u), -1) if len(u) else x
         schema += ", features array<float>"
-    if not len(u):
-        return spark.createDataFrame([], schema)
-    return spark.createDataFrame(pdf.to_dict("records") if edge_features is None else [{**r, "features": [float(v) for v in r["features"]]} for r in pdf.to_dict("records")], schema)
+
+    def blocks() -> Iterator[pa.Table]:
+        for at in range(0, len(u), BLOCK):
+            own = slice(at, at + BLOCK)
+            cols = {"idx": np.arange(at, min(at + BLOCK, len(u)))} | {n: c[own].astype("i8") for n, c in (("u", u), ("i", i), ("ts", ts))}
+            if x is not None:
+                cols["features"] = pa.array(list(x[own]), pa.list_(pa.float32()))
+            yield pa.table(cols)
+
+    return _written(spark, blocks(), schema)
 
 
 def read_csv(spark: SparkSession, path: str | list[str], delimiter: str = ",", row_count: int | None = None) -> DataFrame:

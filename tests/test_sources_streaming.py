@@ -142,3 +142,23 @@ def test_replay(spark):
     edges = readers.from_tuples(spark, [(k % 5, k % 3, k) for k in range(30)])
     counts = [e.get_edge_count() for _ in replay(edges, e, 4)]
     assert counts[-1] == 30 and counts == sorted(counts)
+
+
+def test_edges_come_in_blocks(spark, monkeypatch):
+    """The driver makes rows of a block at a time, of a generator as well; order of arrival goes on over blocks."""
+    import numpy as np
+
+    from driftpath.sources import readers
+
+    monkeypatch.setattr(readers, "BLOCK", 4)
+    rows = [(k % 3, k % 5, k // 2) for k in range(10)]
+    want = [(k, *r) for k, r in enumerate(rows)]
+    sizes = []
+    made = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: (sizes.append(len(data)), made(self, data, *a, **b))[1])
+    assert sorted(tuple(r) for r in readers.from_tuples(spark, iter(rows)).collect()) == want
+    u, i, ts = (np.array(c) for c in zip(*rows, strict=True))
+    got = readers.from_arrays(spark, u, i, ts, np.arange(20).reshape(10, 2))
+    assert sorted((r.idx, r.u, r.i, r.ts, *r.features) for r in got.collect()) == [(*w, 2.0 * k, 2.0 * k + 1) for k, w in enumerate(want)]
+    assert sizes == [4, 4, 2] * 2
+    assert readers.from_tuples(spark, iter(())).count() == 0
