@@ -19,6 +19,7 @@ ROOT = Path(__file__).resolve().parents[1]
 SF = "/root/testdata/sf0.001"
 NAMES = [
     "walk_ExponentialIndex_bwd_arrays",
+    "walk_ExponentialWeight_fwd_arrays",
 ]
 #: The driver: a line of JSON for each query, its rows or its error.
 DRIVER = """
