@@ -20,6 +20,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "walk_ExponentialIndex_bwd_arrays",
     "walk_ExponentialWeight_fwd_arrays",
+    "walk_Uniform_bwd_arrays",
 ]
 #: The driver: a line of JSON for each query, its rows or its error.
 DRIVER = """
