@@ -21,6 +21,7 @@ NAMES = [
     "walk_ExponentialIndex_bwd_arrays",
     "walk_ExponentialWeight_fwd_arrays",
     "walk_Uniform_bwd_arrays",
+    "walk_cutoffs_fwd",
 ]
 #: The driver: a line of JSON for each query, its rows or its error.
 DRIVER = """
