@@ -22,6 +22,7 @@ NAMES = [
     "walk_ExponentialWeight_fwd_arrays",
     "walk_Uniform_bwd_arrays",
     "walk_cutoffs_fwd",
+    "walk_first_undirected_arrays",
 ]
 #: The driver: a line of JSON for each query, its rows or its error.
 DRIVER = """
