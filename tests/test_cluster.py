@@ -24,6 +24,7 @@ NAMES = [
     "walk_cutoffs_fwd",
     "walk_first_undirected_arrays",
     "walk_last_bwd_arrays",
+    "walk_start_bias_arrays",
 ]
 #: The driver: a line of JSON for each query, its rows or its error.
 DRIVER = """
