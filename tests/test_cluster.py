@@ -25,6 +25,7 @@ NAMES = [
     "walk_first_undirected_arrays",
     "walk_last_bwd_arrays",
     "walk_start_bias_arrays",
+    "engine_walks_fwd",
 ]
 #: The driver: a line of JSON for each query, its rows or its error.
 DRIVER = """
