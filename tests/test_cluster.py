@@ -26,6 +26,7 @@ NAMES = [
     "walk_last_bwd_arrays",
     "walk_start_bias_arrays",
     "engine_walks_fwd",
+    "walk_ExponentialIndex_fwd_arrays",
 ]
 #: The driver: a line of JSON for each query, its rows or its error.
 DRIVER = """
