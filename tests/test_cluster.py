@@ -27,6 +27,7 @@ NAMES = [
     "walk_start_bias_arrays",
     "engine_walks_fwd",
     "walk_ExponentialIndex_fwd_arrays",
+    "walk_Linear_bwd_arrays",
 ]
 #: The driver: a line of JSON for each query, its rows or its error.
 DRIVER = """
