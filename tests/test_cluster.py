@@ -28,6 +28,7 @@ NAMES = [
     "engine_walks_fwd",
     "walk_ExponentialIndex_fwd_arrays",
     "walk_Linear_bwd_arrays",
+    "walk_Uniform_fwd_arrays",
 ]
 #: The driver: a line of JSON for each query, its rows or its error.
 DRIVER = """
