@@ -29,6 +29,7 @@ NAMES = [
     "walk_ExponentialIndex_fwd_arrays",
     "walk_Linear_bwd_arrays",
     "walk_Uniform_fwd_arrays",
+    "walk_edge_features",
 ]
 #: The driver: a line of JSON for each query, its rows or its error.
 DRIVER = """
