@@ -30,6 +30,7 @@ NAMES = [
     "walk_Linear_bwd_arrays",
     "walk_Uniform_fwd_arrays",
     "walk_edge_features",
+    "walk_last_bwd_undirected_arrays",
 ]
 #: The driver: a line of JSON for each query, its rows or its error.
 DRIVER = """
