@@ -31,6 +31,7 @@ NAMES = [
     "walk_Uniform_fwd_arrays",
     "walk_edge_features",
     "walk_last_bwd_undirected_arrays",
+    "walk_statistics",
 ]
 #: The driver: a line of JSON for each query, its rows or its error.
 DRIVER = """
