@@ -32,6 +32,7 @@ NAMES = [
     "walk_edge_features",
     "walk_last_bwd_undirected_arrays",
     "walk_statistics",
+    "padded_arrays",
 ]
 #: The driver: a line of JSON for each query, its rows or its error.
 DRIVER = """
