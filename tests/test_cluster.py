@@ -33,6 +33,7 @@ NAMES = [
     "walk_last_bwd_undirected_arrays",
     "walk_statistics",
     "padded_arrays",
+    "walk_ExponentialWeight_bwd_arrays",
 ]
 #: The driver: a line of JSON for each query, its rows or its error.
 DRIVER = """
