@@ -34,6 +34,7 @@ NAMES = [
     "walk_statistics",
     "padded_arrays",
     "walk_ExponentialWeight_bwd_arrays",
+    "walk_Linear_fwd_arrays",
 ]
 #: The driver: a line of JSON for each query, its rows or its error.
 DRIVER = """
