@@ -35,6 +35,7 @@ NAMES = [
     "padded_arrays",
     "walk_ExponentialWeight_bwd_arrays",
     "walk_Linear_fwd_arrays",
+    "walk_cutoffs_bwd",
 ]
 #: The driver: a line of JSON for each query, its rows or its error.
 DRIVER = """
