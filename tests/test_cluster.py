@@ -36,6 +36,7 @@ NAMES = [
     "walk_ExponentialWeight_bwd_arrays",
     "walk_Linear_fwd_arrays",
     "walk_cutoffs_bwd",
+    "walk_first_fwd_arrays",
 ]
 #: The driver: a line of JSON for each query, its rows or its error.
 DRIVER = """
