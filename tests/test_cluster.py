@@ -37,6 +37,7 @@ NAMES = [
     "walk_Linear_fwd_arrays",
     "walk_cutoffs_bwd",
     "walk_first_fwd_arrays",
+    "walk_free_backward",
 ]
 #: The driver: a line of JSON for each query, its rows or its error.
 DRIVER = """
